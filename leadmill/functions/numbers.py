@@ -58,5 +58,5 @@ def payment_from_cod(c: Column) -> Column:
 
 
 def mean(total: Column, count: Column, scale: int = 4) -> Column:
-    """Average of exact money as a double, rounded; NULL for no rows."""
-    return F.round(F.try_divide(total.cast("double"), count), scale)
+    """Average of exact money, rounded half up as a decimal; NULL for no rows."""
+    return F.round(F.try_divide(total, count), scale).cast("double")

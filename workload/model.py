@@ -75,6 +75,10 @@ def money(expr: str) -> str:
 def customers(d: Dialect) -> str:
     as_of = f"{d.timestamp} '{AS_OF}'"
     half = "CAST(floor(c_custkey / 2) AS BIGINT)"
+    # Rounded half up in whole numbers: the engines' round() of a double differs at ties.
+    mean_cents = (
+        "CAST(floor(CAST(200 * revenue + n_completed AS DOUBLE) / (2 * n_completed)) AS BIGINT)"
+    )
     return f"""
 SELECT {customer_id('c_custkey')} AS customer_id, {phone('c_custkey')} AS phone_raw,
        c_name AS name, n_name AS city,
@@ -83,8 +87,7 @@ SELECT {customer_id('c_custkey')} AS customer_id, {phone('c_custkey')} AS phone_
        CAST({d.days_between % (as_of, 'last_order_date')} AS BIGINT) AS recency_days,
        coalesce(n_completed, 0) AS total_orders,
        {money('coalesce(revenue, 0)')} AS total_revenue,
-       CASE WHEN n_completed > 0
-            THEN {money('round(CAST(revenue AS DOUBLE) / n_completed, 2)')} END AS avg_order_value,
+       CASE WHEN n_completed > 0 THEN {money(f'{mean_cents} * 0.01')} END AS avg_order_value,
        {platform('c_custkey')} AS first_platform, {platform(half)} AS last_platform,
        CASE WHEN n_completed >= 4 THEN 'Loyal' WHEN n_completed >= 2 THEN 'Returning'
             WHEN n_completed = 1
