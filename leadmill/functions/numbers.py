@@ -47,10 +47,8 @@ def default_qty(c: Column) -> Column:
 
 def whole_amount(c: Column, default: int) -> Column:
     """Number cut to its whole part; missing, unreadable or zero gives the default."""
-    x = to_num(c)
-    return F.when(x.isNull() | (x == 0), F.lit(default).cast("bigint")).otherwise(
-        x.try_cast("bigint")
-    )
+    x = F.nullif(to_num(c), F.lit(0.0))
+    return F.coalesce(x, F.lit(float(default))).try_cast("bigint")
 
 
 def payment_from_cod(c: Column) -> Column:

@@ -16,7 +16,7 @@ def normalize_phone(c: Column) -> Column:
 def courier_phone(c: Column) -> Column:
     """Phone of the courier export: country code added, no check of the rest."""
     s = null_if_in(F.translate(strip_quote(c), " -", ""), ["", "nan"])
-    return F.regexp_replace(F.regexp_replace(s, "^0", "62"), "^(?!62)", "62")
+    return F.regexp_replace(s, "^(?:0|(?!62))", "62")
 
 
 def lead_phone(c: Column) -> Column:

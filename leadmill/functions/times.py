@@ -7,9 +7,13 @@ from pyspark.sql import Column, functions as F
 from leadmill.functions.text import strip
 
 ISO_START = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T]|$)"
-ZONE_END = r"[0-9]\s*(Z|UTC|[+-][0-9]{2}(:?[0-9]{2})?)$"
-TIME_WITH_ZONE = r"[ T].*" + ZONE_END
-OTHER_FORMATS = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d"]
+ISO_WITH_ZONE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T].*[0-9]\s*(Z|UTC|[+-][0-9]{2}(:?[0-9]{2})?)$"
+SLASHES = r"^[0-9]+/[0-9]+/[0-9]+"
+# Month first; day first only where that cannot be a month.
+SLASH_FORMATS = [
+    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm",
+    "d/M/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d",
+]
 
 
 def as_timestamp(value: str | datetime | Column) -> Column:
@@ -22,10 +26,15 @@ def as_timestamp(value: str | datetime | Column) -> Column:
 
 def to_ts(c: Column) -> Column:
     """ISO text, or one of a few slash formats; anything else gives NULL."""
-    s = strip(c)
-    iso = F.when(s.rlike(ISO_START), s.try_cast("timestamp_ntz"))
-    others = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in OTHER_FORMATS]
-    return F.coalesce(iso, *others)
+    return _wall_clock(strip(c))
+
+
+def _wall_clock(s: Column) -> Column:
+    # A failed parse is slow, so the slash formats are only tried on text with slashes.
+    slashes = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in SLASH_FORMATS]
+    return F.when(s.rlike(ISO_START), s.try_cast("timestamp_ntz")).when(
+        s.rlike(SLASHES), F.coalesce(*slashes)
+    )
 
 
 def courier_date(c: Column) -> Column:
@@ -39,7 +48,7 @@ def utc_ts(c: Column) -> Column:
     zoned = F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), s.try_cast("timestamp").cast("timestamp_ntz")
     )
-    return F.when(s.rlike(ISO_START) & s.rlike(TIME_WITH_ZONE), zoned).otherwise(to_ts(s))
+    return F.when(s.rlike(ISO_WITH_ZONE), zoned).otherwise(_wall_clock(s))
 
 
 def months_before(as_of: str | datetime | Column, months: int) -> Column:

@@ -89,20 +89,24 @@ def top_products(
 ) -> DataFrame:
     """Products of completed orders with the largest quantity.
 
-    `by_category` counts each item category of a product on its own. The catalogue
-    name is the same for all items of a product, so the catalogue is joined to the
-    sums rather than to the items.
+    `by_category` counts each item category of a product on its own. Items are first
+    counted per product, name and category: sums of numbers combine in hash maps on
+    the map side, while a maximum of texts would sort all items. Only those few rows
+    meet the catalogue.
     """
     sold = mapped_products(items).join(
         completed_only(orders).select("order_id", "source_platform"),
         ["order_id", "source_platform"],
     )
+    variants = sold.groupBy("product_id", "product_name", "product_category").agg(
+        count_rows().alias("n"), F.sum("qty_item").alias("qty")
+    )
     by = ["product_id", "product_category"] if by_category else ["product_id"]
-    sums = sold.groupBy(*by).agg(
+    sums = variants.groupBy(*by).agg(
         F.max("product_name").alias("item_name"),
         F.max("product_category").alias("category"),
-        count_rows().alias("order_count"),
-        F.sum("qty_item").alias("total_qty"),
+        F.sum("n").alias("order_count"),
+        F.sum("qty").alias("total_qty"),
     )
     names = products.select("product_id", F.col("product_name").alias("catalogue_name"))
     return (

@@ -14,9 +14,11 @@ def require_key(df: DataFrame, key: str) -> DataFrame:
 
 def with_default_rows(df: DataFrame, rows: Sequence[Mapping[str, str]]) -> DataFrame:
     """Append fixed rows; columns a row does not name are NULL."""
-    schema = df.schema
-    values = [tuple(row.get(f.name) for f in schema) for row in rows]
-    return df.unionByName(df.sparkSession.createDataFrame(values, schema))
+    one_row = df.sparkSession.range(1)
+    for row in rows:
+        cells = [F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
+        df = df.unionByName(one_row.select(*cells))
+    return df
 
 
 def null_orphan_fk(items: DataFrame, products: DataFrame, spread: str) -> DataFrame:

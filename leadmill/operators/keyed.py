@@ -122,9 +122,12 @@ def ordered_lists(
         lists = group.groupBy(*keys, part.alias("part")).agg(pairs.alias(name))
         return lists.withColumn(name, F.transform(name, lambda x: x["_value"]))
 
-    whole = F.lit(0).cast("bigint")
+    def collect_whole(group: DataFrame) -> DataFrame:
+        # Lists have nothing to combine on the map side, so rows are shipped as they are.
+        return collect(group.repartition(*keys), F.lit(0).cast("bigint"))
+
     if hot is None:
-        return collect(rows, whole)
+        return collect_whole(rows)
     rest, long = hot.split(rows, keys)
     sort = [*keys, "_order", F.xxhash64("_value")]
     # The id counts the rows of a sorted task and grows with the task number, so its
@@ -133,4 +136,4 @@ def ordered_lists(
     pieces = (
         long.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("part", piece)
     )
-    return collect(rest, whole).unionByName(collect(pieces, F.col("part")))
+    return collect_whole(rest).unionByName(collect(pieces, F.col("part")))

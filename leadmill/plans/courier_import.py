@@ -5,8 +5,8 @@ rows that become orders can create customers or convert leads. All outputs deriv
 that table and from one row per phone in it.
 """
 
-from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,7 +23,7 @@ from leadmill.operators.rules import (
 from leadmill.schemas import (
     COMPLETED, COURIER_HEADINGS, COURIER_PLATFORM, CUSTOMERS, MONEY, ORDER_ITEMS, ORDERS,
 )
-from leadmill.sources.files import conform
+from leadmill.sources.files import append_table, conform, reload_table
 
 
 def usable_rows(raw: DataFrame) -> DataFrame:
@@ -178,56 +178,99 @@ def courier_report(raw: DataFrame, fresh: DataFrame, converted: DataFrame) -> Da
     return sum_rows(inserted, usable, synced)
 
 
-@dataclass(frozen=True)
 class CourierImport:
-    """New rows of the import, whole tables after it, and its report."""
-
-    new_orders: DataFrame
-    new_items: DataFrame
-    new_customers: DataFrame
-    customers: DataFrame
-    leads: DataFrame
-    report: DataFrame
-
-
-def import_courier_orders(
-    raw: DataFrame,
-    customers: DataFrame,
-    orders: DataFrame,
-    leads: DataFrame,
-    as_of: AsOf,
-    stage_dir: str | None = None,
-) -> CourierImport:
-    """`raw` has the export's headings and an orderable `row_no`.
-
-    All results are lazy and share two intermediate tables. Give a shared folder as
-    `stage_dir` when several results are used: the two are then written there once
-    (a new subfolder each) and read back, instead of being computed for each result.
+    """New rows of the import, whole tables after it, and its report; all lazy.
+
+    `raw` has the export's headings and an orderable `row_no`. Give a shared folder as
+    `stage_dir` when several results are used: the two tables that all results derive
+    from are then written there once (a new subfolder each) and read back, instead of
+    being computed for each result.
     """
-    fresh = staged(fresh_rows(raw, orders), stage_dir, "fresh")
-    book = staged(phone_book(fresh, customers), stage_dir, "phones")
-    added_orders = new_orders(fresh, book)
-    added_customers = new_customers(book, customers)
-    all_orders = orders.unionByName(added_orders, allowMissingColumns=True)
-    all_customers = customers.unionByName(added_customers, allowMissingColumns=True)
-    customers_after = assign_segments(refresh_customer_stats(all_customers, all_orders), as_of)
-    converted = converted_leads(leads, book)
-    leads_after = assign_tracks(
-        converted.drop("newly_converted"), all_orders, all_customers, as_of, "courier_import"
-    )
-    return CourierImport(
-        new_orders=added_orders,
-        new_items=new_items(fresh),
-        new_customers=added_customers,
-        customers=customers_after,
-        leads=leads_after,
-        report=courier_report(raw, fresh, converted),
-    )
 
+    def __init__(
+        self,
+        raw: DataFrame,
+        customers: DataFrame,
+        orders: DataFrame,
+        leads: DataFrame,
+        as_of: AsOf,
+        stage_dir: str | None = None,
+    ):
+        self.raw = raw
+        self.old_customers = customers
+        self.old_orders = orders
+        self.old_leads = leads
+        self.as_of = as_of
+        self.stage_dir = stage_dir
+
+    @cached_property
+    def fresh(self) -> DataFrame:
+        return self._staged(fresh_rows(self.raw, self.old_orders), "fresh")
+
+    @cached_property
+    def book(self) -> DataFrame:
+        return self._staged(phone_book(self.fresh, self.old_customers), "phones")
+
+    @cached_property
+    def new_orders(self) -> DataFrame:
+        return new_orders(self.fresh, self.book)
+
+    @cached_property
+    def new_items(self) -> DataFrame:
+        return new_items(self.fresh)
+
+    @cached_property
+    def new_customers(self) -> DataFrame:
+        return new_customers(self.book, self.old_customers)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self.old_orders.unionByName(self.new_orders, allowMissingColumns=True)
+
+    @cached_property
+    def _customers(self) -> DataFrame:
+        """With the new ones, before the refresh of statistics and segments."""
+        return self.old_customers.unionByName(self.new_customers, allowMissingColumns=True)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return assign_segments(
+            refresh_customer_stats(self._customers, self.orders), self.as_of
+        )
+
+    @cached_property
+    def _converted(self) -> DataFrame:
+        return converted_leads(self.old_leads, self.book)
+
+    @cached_property
+    def leads(self) -> DataFrame:
+        return assign_tracks(
+            self._converted.drop("newly_converted"),
+            self.orders,
+            self._customers,
+            self.as_of,
+            "courier_import",
+        )
 
-def staged(df: DataFrame, stage_dir: str | None, name: str) -> DataFrame:
-    if stage_dir is None:
-        return df
-    path = f"{stage_dir}/{name}-{datetime.now():%Y%m%d%H%M%S%f}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    @cached_property
+    def report(self) -> DataFrame:
+        return courier_report(self.raw, self.fresh, self._converted)
+
+    def save(self, tables_dir: str, new_dir: str) -> None:
+        """Write customers and leads after the import to `new_dir`, then append the new
+        orders and items to `tables_dir`. Needs `stage_dir`, as an append changes what
+        the results derive from."""
+        if self.stage_dir is None:
+            raise ValueError("saving needs a stage_dir")
+        added_orders, added_items = self.new_orders, self.new_items
+        reload_table(self.customers, f"{new_dir}/customers")
+        reload_table(self.leads.drop("previous_track"), f"{new_dir}/leads")
+        append_table(added_orders, f"{tables_dir}/orders")
+        append_table(added_items, f"{tables_dir}/order_items")
+
+    def _staged(self, df: DataFrame, name: str) -> DataFrame:
+        if self.stage_dir is None:
+            return df
+        path = f"{self.stage_dir}/{name}-{datetime.now():%Y%m%d%H%M%S%f}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)

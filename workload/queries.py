@@ -248,7 +248,6 @@ def clean_lead_times(m):
 
 @query
 def null_nan_prices(m):
-    """NaN, from a division of the order value by itself minus itself, becomes NULL."""
     value = F.col("net_revenue").cast("double")
     odd = F.when(F.col("total_qty") == 1, F.lit("NaN").cast("double")).otherwise(value)
     return m.orders.select("order_id", numbers.null_if_nan(odd).alias("net_revenue"))
@@ -417,7 +416,7 @@ def lead_patch_report(m):
 
 
 def courier(m: Model) -> courier_import.CourierImport:
-    return courier_import.import_courier_orders(
+    return courier_import.CourierImport(
         m.courier_export, m.customers, m.orders, m.leads, AS_OF
     )
 
