@@ -8,6 +8,7 @@ from leadmill.functions.text import strip
 
 ISO_START = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T]|$)"
 ISO_WITH_ZONE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T].*[0-9]\s*(Z|UTC|[+-][0-9]{2}(:?[0-9]{2})?)$"
+MINUTES_THEN_ZONE = r"([ T][0-9]{1,2}:[0-9]{1,2})\s*(Z|UTC|[+-])"
 SLASHES = r"^[0-9]+/[0-9]+/[0-9]+"
 # Month first; day first only where that cannot be a month.
 SLASH_FORMATS = [
@@ -45,8 +46,10 @@ def courier_date(c: Column) -> Column:
 def utc_ts(c: Column) -> Column:
     """Like to_ts, but a time that names its zone is converted to UTC."""
     s = strip(c)
+    # With a zone, Spark wants seconds too.
+    full = F.regexp_replace(s, MINUTES_THEN_ZONE, "$1:00$2")
     zoned = F.convert_timezone(
-        F.current_timezone(), F.lit("UTC"), s.try_cast("timestamp").cast("timestamp_ntz")
+        F.current_timezone(), F.lit("UTC"), full.try_cast("timestamp").cast("timestamp_ntz")
     )
     return F.when(s.rlike(ISO_WITH_ZONE), zoned).otherwise(_wall_clock(s))
 

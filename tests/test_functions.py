@@ -110,6 +110,8 @@ def test_times(spark):
     check(spark, times.utc_ts, {
         "2024-03-05T07:00:00+07:00": datetime(2024, 3, 5), "2024-03-05T07:00:00Z":
         datetime(2024, 3, 5, 7), "2024-03-05 07:00:00-0130": datetime(2024, 3, 5, 8, 30),
+        "2024-03-05T07:00+07:00": datetime(2024, 3, 5), "2024-03-05 7:05Z":
+        datetime(2024, 3, 5, 7, 5), "2024-03-05 7:05": datetime(2024, 3, 5, 7, 5),
         "2024-03-05": datetime(2024, 3, 5), "bad": None, None: None,
     })
 
