@@ -7,7 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_LIST_ROWS = 10_000
+MAX_LIST_ROWS = 100_000
 MAX_JOIN_ROWS = 1_000_000
 MAX_BROADCAST_KEYS = 100_000
 

@@ -11,6 +11,8 @@ from leadmill.operators.keyed import (
 )
 from leadmill.operators.paging import page_of, sort_columns
 
+# Names are short, so a list of this length is still a handy row.
+MAX_LIST_NAMES = 1_000_000
 ORDER_KEY = ["order_id", "source_platform"]
 HISTORY_COLUMNS = [
     "order_id", "source_platform", "order_date", "order_status", "payment_method", "net_revenue",
@@ -77,7 +79,7 @@ def leads_enriched(leads: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def orders_with_product_list(
-    orders: DataFrame, items: DataFrame, max_list_rows: int = MAX_LIST_ROWS
+    orders: DataFrame, items: DataFrame, max_list_rows: int = MAX_LIST_NAMES
 ) -> DataFrame:
     """Orders with the names of all their items, joined by ', ' in item order.
 
