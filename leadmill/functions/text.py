@@ -1,5 +1,7 @@
 """Text cleaning, code mapping and text search."""
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from leadmill.schemas import COURIER_NAMES, SEGMENTS
@@ -19,7 +21,8 @@ def strip(c: Column) -> Column:
 
 
 def null_if_in(c: Column, values: list[str]) -> Column:
-    return F.when(~c.isin(values), c)
+    """NULL for the given texts. Spark computes c once, which a CASE over c would not do."""
+    return reduce(lambda x, value: F.nullif(x, F.lit(value)), values, c)
 
 
 def strip_quote(c: Column) -> Column:
@@ -71,7 +74,7 @@ def contains_text(c: Column, text: str) -> Column:
 
 def goods_list(c: Column) -> Column:
     """Comma-separated goods as an array that is never empty."""
-    goods = F.coalesce(courier_text(c), F.lit(""))
+    goods = courier_text(c)
     parts = F.filter(F.transform(F.split(goods, ","), strip), lambda x: x != "")
-    whole = F.when(goods == "", F.lit("Unknown")).otherwise(goods)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(whole))
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.nullif(parts, none), F.array(F.coalesce(goods, F.lit("Unknown"))))
