@@ -17,9 +17,11 @@ decoder, which keeps the bytes of an unfinished character until the next block.
 
 import base64
 import codecs
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
 
@@ -82,6 +84,9 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
+        """Start anew; states refer to each other, so the collector must look for them."""
+        self.states = {}
+        gc.collect()
         self.start = _State((None,), [(0, 0)])
         self.states = {self.start.chain: self.start}
 
@@ -200,6 +205,26 @@ class Transducer:
         return out
 
 
+class _Recent:
+    """A dictionary that forgets what was not asked for while half its size was added."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = max(1, size // 2), {}, {}
+
+    def put(self, key: str, value: str) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def get(self, key: str) -> str | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         with open(vocabulary.path, "rb") as f:
@@ -207,17 +232,30 @@ class Codec:
         self.fst = Transducer(ranks)
         self.find = regex.compile(vocabulary.pattern).finditer
         self.bytes_of = {str(r): t for r, t in self.fst.bytes_of.items()}
-        self.fragments: dict[str, str] = {}
+        self.fragments, self.pieces = _Recent(MAX_FRAGMENTS), _Recent(MAX_FRAGMENTS)
+
+    def _piece(self, piece: str) -> str:
+        """Ids of a match of the pattern as decimals, each with a comma after it."""
+        done = self.pieces.get(piece)
+        if done is None:
+            done = "".join([f"{i}," for i in self.fst.encode(piece.encode())])
+            if len(piece) <= LONG_FRAGMENT:
+                self.pieces.put(piece, done)
+        return done
 
     def _fragment(self, text: str) -> str:
-        """Ids of a fragment as decimals, each with a comma after it."""
-        encode = self.fst.encode
-        ids = [i for m in self.find(text) for i in encode(m.group().encode())]
-        done = "".join([f"{i}," for i in ids])
+        """Ids of a fragment, which is one match or several."""
+        if text[1:].isalpha() and text[0] == " ":
+            return self._piece(text)
+        known = self.fragments.get(text)
+        if known is not None:
+            return known
+        if text[-1] in ",." and text[1:-1].isalpha() and text[0] == " ":
+            done = self._piece(text[:-1]) + self._piece(text[-1])
+        else:
+            done = "".join([self._piece(m.group()) for m in self.find(text)])
         if len(text) <= LONG_FRAGMENT:
-            if len(self.fragments) >= MAX_FRAGMENTS:
-                self.fragments.clear()
-            self.fragments[text] = done
+            self.fragments.put(text, done)
         return done
 
     def encode(self, text: str) -> Iterator[str]:
@@ -234,13 +272,16 @@ class Codec:
         else:
             first, *others = text.split(" ")
             fragments = [first, *[" " + x for x in others]]
-        get, make = self.fragments.get, self._fragment
+        # Dictionaries change when one is full, so they are looked up anew for each block.
+        make = self._fragment
         block = []
+        fast, fast_piece = self.fragments.young, self.pieces.young
         for f in fragments:
-            block.append(get(f) or make(f))
+            block.append(fast.get(f) or fast_piece.get(f) or make(f))
             if len(block) == DECODE_BLOCK:
                 yield "".join(block)
                 block = []
+                fast, fast_piece = self.fragments.young, self.pieces.young
         if block:
             yield "".join(block)
 
@@ -252,6 +293,28 @@ class Codec:
         yield decoder.decode(b"", True)
 
 
+@contextmanager
+def no_collection():
+    """Without searches for cyclic garbage, which would go through all states again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def _without_collection(work):
+    """The same generator, run without searches for cyclic garbage."""
+
+    def run(batches):
+        with no_collection():
+            yield from work(batches)
+
+    return run
+
+
 @cache
 def codec(vocabulary: Vocabulary) -> Codec:
     """One per Python worker."""
@@ -276,7 +339,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        work, f"id {kind}, n_tokens long, tokens array<int>"
+        _without_collection(work), f"id {kind}, n_tokens long, tokens array<int>"
     )
     return out.withColumnRenamed("id", id_col)
 
@@ -302,7 +365,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col="doc_id") -> DataF
 
     kind = encoded.schema[id_col].dataType.simpleString()
     out = encoded.select(F.col(id_col).alias("id"), "tokens").mapInPandas(
-        work, f"id {kind}, text string"
+        _without_collection(work), f"id {kind}, text string"
     )
     return out.withColumnRenamed("id", id_col)
 
@@ -342,6 +405,6 @@ def round_trip(
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        work, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        _without_collection(work), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
     return out.withColumnRenamed("id", id_col)
