@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadmill.llm import bpe, decontaminate, langid, sharding, toxicity, warc
+from leadmill.llm import bpe, decontaminate, langid, ngram_join, passages, sharding, toxicity, warc
 from leadmill.llm.folds import held_out
 from leadmill.llm.staging import new_folder
 from leadmill.llm.tables import table
@@ -15,6 +15,11 @@ VOCABULARY = bpe.Vocabulary(
 SHARD_BYTES = 16 << 20
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under similarity of 4-word shingles."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -52,10 +57,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that an earlier document has, exactly or nearly."""
+    return passages.repeated(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_sharding, op4_language_id, op5_decontamination, op6_toxicity, op7_warc, op8_byte_bpe,
+        op2_ngram_join, op3_sharding, op4_language_id, op5_decontamination, op6_toxicity,
+        op7_warc, op8_byte_bpe, op10_substring_dedup,
     )
 }
 ORACLES = {"op3_sharding": sharding.oracle(SHARD_BYTES)}
