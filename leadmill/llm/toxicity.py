@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leadmill.llm.folds import held_out, sample
@@ -188,3 +189,15 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
         work, f"id {kind}, score double, predicted int"
     )
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
+    """The rows of docs that are not predicted to be toxic, with all their columns."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(model.vocabulary)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([model.score(read, t) < THRESHOLD for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
