@@ -123,18 +123,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         ~held_out("id") & F.col("text").isNotNull()
     )
-    positives = texts.join(
-        sample(marks.where("toxic = 1"), MAX_POSITIVE, toxic, "id").select("id"), "id"
-    )
-    # Ids decide which documents have no label; texts are read for the sample only.
+    # Ids choose the samples. They are few, so the texts aren't shuffled to meet them.
     known = marks.select("id")
     ids = docs.select(F.col(id_col).alias("id")).where(~held_out("id"))
     count = ids.join(known, "id", "left_anti").count()
     if count:
-        unlabelled = sample(texts, MAX_UNLABELLED, count, "id").join(known, "id", "left_anti")
+        some = sample(ids, MAX_UNLABELLED, count, "id").join(known, "id", "left_anti")
     else:
         # All are labelled: then the fold as a whole serves as the unlabelled texts.
-        unlabelled = sample(texts, MAX_UNLABELLED, ids.count(), "id")
+        some = sample(ids, MAX_UNLABELLED, ids.count(), "id")
+    toxic_ids = sample(marks.where("toxic = 1"), MAX_POSITIVE, toxic, "id").select("id")
+    positives = texts.join(F.broadcast(toxic_ids), "id")
+    unlabelled = texts.join(F.broadcast(some.distinct()), "id")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = Reader()
