@@ -1,9 +1,11 @@
 """One query per operator, with production parameters over its whole table."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadmill.llm import bpe, decontaminate, langid, ngram_join, passages, sharding, toxicity, warc
+from leadmill.llm import (
+    ann, bpe, chat, decontaminate, langid, ngram_join, passages, sharding, toxicity, warc,
+)
 from leadmill.llm.folds import held_out
 from leadmill.llm.staging import new_folder
 from leadmill.llm.tables import table
@@ -15,6 +17,15 @@ VOCABULARY = bpe.Vocabulary(
 SHARD_BYTES = 16 << 20
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a transcript, parsed back into turns; of the rendered turns, digests."""
+    turns = chat.parse(chat.transcribe(table(spark, sf_dir, "conversations")))
+    return turns.select(
+        "conv_id", "turn_no", "chunk", "role", "n_lines", F.length("text").alias("n_chars"),
+        F.sha2("rendered", 256).alias("rendered_sha256"),
+    )
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under similarity of 4-word shingles."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -57,6 +68,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every 20th embedding."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of a document that an earlier document has, exactly or nearly."""
     return passages.repeated(table(spark, sf_dir, "documents")).drop("row_key")
@@ -65,8 +81,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_ngram_join, op3_sharding, op4_language_id, op5_decontamination, op6_toxicity,
-        op7_warc, op8_byte_bpe, op10_substring_dedup,
+        op1_chat_format, op2_ngram_join, op3_sharding, op4_language_id, op5_decontamination,
+        op6_toxicity, op7_warc, op8_byte_bpe, op9_nearest_neighbours, op10_substring_dedup,
     )
 }
 ORACLES = {"op3_sharding": sharding.oracle(SHARD_BYTES)}
