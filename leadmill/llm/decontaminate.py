@@ -10,15 +10,15 @@ values of the document.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadmill.llm.staging import stage
+from leadmill.llm.staging import stage, to_texts
 
 #: Tokens of a window, and how many of them must be words.
 WINDOW = 6
 MIN_WORDS = 3
 #: Share of an item's windows that a document must have.
 COVERAGE = 0.6
-#: A benchmark of up to so many windows (some 50 bytes each) is broadcast.
-MAX_BROADCAST = 1_000_000
+#: A benchmark of up to so many windows (some 150 bytes each) is broadcast.
+MAX_BROADCAST = 500_000
 
 #: Units of measure and of money.
 UNITS = (
@@ -35,10 +35,8 @@ _TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+[.!?]?|[%$€£°]"
 
 
 def _templates(rows: DataFrame, text: str) -> DataFrame:
-    """Add values (lower-case tokens) and template (words and placeholders); drop the text.
-
-    A null or empty text has no tokens.
-    """
+    """Replace the text by hs, the hashes of its template's tokens, and slots: at placeholders
+    the hash of the value that stands there, else 0. A null or empty text has no tokens."""
     units = ", ".join(f"'{u}'" for u in UNITS)
     number = "({0} >= '0' AND {0} < ':')"
     before = "tokens[greatest(i - 1, 0)]"
@@ -49,34 +47,32 @@ def _templates(rows: DataFrame, text: str) -> DataFrame:
         WHEN i > 0 AND substr(t, 1, 1) <> lower(substr(t, 1, 1))
              AND right({before}, 1) NOT IN ('.', '!', '?') THEN '<name>'
         ELSE {word} END)"""
+    placeholder = "IN ('<num>', '<unit>', '<name>')"
     return (
         rows.withColumn("tokens", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), 0))
         .drop(text)
         .withColumn("template", F.expr(template))
-        .withColumn("values", F.expr(f"transform(tokens, t -> {word})"))
-        .drop("tokens")
+        .withColumn("hs", F.expr("transform(template, x -> xxhash64(x))"))
+        .withColumn(
+            "slots",
+            F.expr(f"transform(tokens, (t, i) -> if(template[i] {placeholder}, xxhash64({word}), 0L))"),
+        )
+        .drop("tokens", "template")
     )
 
 
 def _windows(rows: DataFrame, *keep: str) -> DataFrame:
-    """pos (from 1) and hash of each window of the template; none, if the template is short.
+    """pos, hash and slots of each window of the template; none, if the template is short.
 
     Short ones are not filtered out: Spark would move such a filter below the tokens, and read
     the tokens anew for each word.
     """
-    hashes = rows.select(*keep, F.expr("transform(template, x -> xxhash64(x))").alias("hs"))
     starts = f"sequence(1, greatest(size(hs) - {WINDOW - 1}, 1))"
     windows = F.expr(
-        f"if(size(hs) < {WINDOW}, array(), "
-        f"transform({starts}, i -> xxhash64(slice(hs, i, {WINDOW}))))"
+        f"if(size(hs) < {WINDOW}, array(), transform({starts}, "
+        f"i -> struct(i AS pos, xxhash64(slice(hs, i, {WINDOW})) AS h, slice(slots, i, {WINDOW}) AS slots)))"
     )
-    return hashes.select(*keep, F.posexplode(windows).alias("pos", "h")).withColumn(
-        "pos", F.col("pos") + 1
-    )
-
-
-def _slice(name: str, pos: str) -> Column:
-    return F.slice(name, F.col(pos), F.lit(WINDOW))
+    return rows.select(*keep, F.explode(windows).alias("w")).select(*keep, "w.*")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -98,62 +94,38 @@ def find(
     nothing. Items (item_id, text) without a window of enough words are never found; repeated
     items count once.
     """
-    items = (
-        _templates(benchmark.select("item_id", F.col("text").alias("t")).distinct(), "t")
-        .where(F.col("item_id").isNotNull())
-    )
-    words = F.size(F.filter("wanted", lambda x: ~x.startswith("<")))
+    items = _templates(benchmark.select("item_id", F.col("text").alias("t")).distinct(), "t")
     wanted = (
-        _windows(items, "item_id", "template", "values")
-        .select(
-            "item_id", F.col("pos").alias("item_pos"), "h",
-            _slice("template", "pos").alias("wanted"), _slice("values", "pos").alias("item_values"),
-        )
-        .where(words >= MIN_WORDS)
-    )
+        _windows(items.where("item_id is not null"), "item_id")
+        .withColumnsRenamed({"pos": "item_pos", "slots": "wanted"})
+        .where(F.size(F.filter("wanted", lambda x: x == 0)) >= MIN_WORDS)
+    )
     wanted = stage(wanted, "items").df
-    hashes = wanted.select("item_id", "item_pos", "h")
-    if wanted.count() <= MAX_BROADCAST:
-        hashes = F.broadcast(hashes)
+    few = wanted.count() <= MAX_BROADCAST
     rows = docs.select(
         row_key(id_col, text_col).alias("row_key"),
         F.col(id_col).alias("id"),
         F.col(text_col).alias("t"),
     )
-    hits = stage(
-        _windows(_templates(rows, "t"), "row_key").join(hashes, "h").drop("h").distinct(), "hits"
-    ).df
-    # Only documents with a hit are read in full again.
-    hit_docs = rows.join(hits.select("row_key").distinct(), "row_key", "left_semi")
-    texts = _templates(hit_docs.dropDuplicates(["row_key"]), "t")
-    pairs = (
-        hits.join(texts, "row_key")
-        .select(
-            "row_key", "id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
-            _slice("values", "pos").alias("doc_values"), _slice("template", "pos").alias("found"),
-        )
-        .join(wanted.drop("h"), ["item_id", "item_pos"])
-        .where(F.col("found") == F.col("wanted"))
-    )
+    hits = _windows(_templates(rows, "t"), "row_key", "id").join(
+        F.broadcast(wanted) if few else wanted, "h"
+    )
     pairs = stage(
-        pairs.select(
-            "row_key", "id", "item_id", "item_pos", "shift",
-            F.expr(
-                f"filter(transform(sequence(0, {WINDOW - 1}), j -> struct(wanted[j] AS kind, "
-                "item_values[j] AS item, doc_values[j] AS doc)), s -> startswith(s.kind, '<'))"
-            ).alias("slots"),
-        ),
+        hits.select(
+            "row_key", "id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
+            F.expr("filter(arrays_zip(wanted, slots), s -> s.wanted <> 0)").alias("slots"),
+        ).distinct(),
         "pairs",
     ).df
     alignment = ["row_key", "item_id", "shift"]
     slots = (
         pairs.select(*alignment, F.explode("slots").alias("s"))
-        .groupBy(*alignment, "s.kind", "s.item")
-        .agg(F.min("s.doc").alias("low"), F.max("s.doc").alias("high"))
+        .groupBy(*alignment, "s.wanted")
+        .agg(F.min("s.slots").alias("low"), F.max("s.slots").alias("high"))
         .groupBy(*alignment)
         .agg(
             F.max(F.col("low") != F.col("high")).alias("torn"),
-            F.min((F.col("low") == F.col("item")) & (F.col("high") == F.col("item"))).alias("kept"),
+            F.min((F.col("low") == F.col("wanted")) & (F.col("high") == F.col("wanted"))).alias("kept"),
         )
     )
     total = wanted.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
@@ -177,5 +149,6 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
-    bad = find(docs, benchmark, id_col, text_col).select("row_key").distinct()
-    return docs.join(bad, row_key(id_col, text_col) == bad["row_key"], "left_anti")
+    found = find(docs, benchmark, id_col, text_col)
+    bad = to_texts(found.select(F.col("row_key").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, row_key(id_col, text_col) == F.col("__bad"), "left_anti")

@@ -8,7 +8,10 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Rows of up to some 100 bytes that may be broadcast to meet whole texts.
+MAX_BROADCAST = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,3 +59,13 @@ def stage(df: DataFrame, name: str) -> Staged:
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), path)
+
+
+def to_texts(keys: DataFrame, name: str) -> DataFrame:
+    """Keys (and a few bytes each) that texts will be joined to.
+
+    Up to MAX_BROADCAST rows are broadcast, so that texts stay where they are; more are joined
+    by a shuffle.
+    """
+    kept = stage(keys, name).df
+    return F.broadcast(kept) if kept.count() <= MAX_BROADCAST else kept
