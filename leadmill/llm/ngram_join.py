@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadmill.llm.components import connected
 from leadmill.llm.shingles import mix, shingle_set
-from leadmill.llm.staging import stage
+from leadmill.llm.staging import stage, to_texts
 
 #: Places of the table that counts shingles by hash; it has this fixed size at any scale.
 SKETCH_BITS = 21
@@ -204,7 +204,7 @@ def near_duplicates(
     index = postings.df.join(shared, "token").join(members, "id").select("token", "rep", "n").distinct()
     index = stage(_several(stage(index, "index").df, "rep").withColumn("comp", F.col("rep")), "index")
     postings.drop()
-    needed = index.df.select(F.col("rep").alias("id")).distinct()
+    needed = to_texts(index.df.select(F.col("rep").alias("id")).distinct(), "needed")
     texts = stage(docs.where("id is not null").join(needed, "id", "left_semi").distinct(), "texts")
 
     # One comparison for each representative.
@@ -256,5 +256,6 @@ def deduplicate(
     Rows that share an id stay or go together; rows without an id or without words all stay.
     """
     found = near_duplicates(docs, how, id_col, text_col)
-    later = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    return docs.join(later, id_col, "left_anti")
+    later = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__later"))
+    later = to_texts(later.distinct(), "later")
+    return docs.join(later, F.col(id_col) == F.col("__later"), "left_anti")
