@@ -54,10 +54,15 @@ class Staged:
 
 
 def stage(df: DataFrame, name: str) -> Staged:
-    """Write df once and give the table that was written."""
+    """Write df once and give the table that was written.
+
+    Nothing reads the shuffles behind it any more. Spark removes their files once the driver's
+    garbage collector has found that; on a large heap that can take long, so it is asked to.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return Staged(spark.read.schema(df.schema).parquet(path), path)
 
 
