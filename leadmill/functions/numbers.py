@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from leadmill.functions.text import null_if_in, strip
+from leadmill.functions.text import strip
 from leadmill.schemas import MONEY
 
 # Plain and exponent notation. A cast alone would also take "12d", "inf" and "nan".
@@ -32,6 +32,13 @@ def integer_text(c: Column) -> Column:
     return number_text(c).try_cast("double").try_cast("bigint").cast("string")
 
 
+def id_text(c: Column) -> Column:
+    """Ids that were exported as floats: '123.0' -> '123'. Text that is no number stays as it
+    is, but for '' and 'nan', which give NULL."""
+    s = strip(c.cast("string"))
+    return F.coalesce(integer_text(c), F.when(~F.lower(s).isin("", "nan"), s))
+
+
 def null_if_nan(c: Column) -> Column:
     """Floating-point NaN -> NULL."""
     return F.when(~F.isnan(c), c)

@@ -68,8 +68,8 @@ def courier_name(c: Column) -> Column:
 
 
 def contains_text(c: Column, text: str) -> Column:
-    """Case-insensitive search; % and _ in the text are wildcards."""
-    return c.ilike(f"%{text}%")
+    """Case-insensitive search; % and _ in the text are wildcards, a backslash is itself."""
+    return c.ilike("%" + text.replace("\\", "\\\\") + "%")
 
 
 def goods_list(c: Column) -> Column:

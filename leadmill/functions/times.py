@@ -15,6 +15,13 @@ SLASH_FORMATS = [
     "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm",
     "d/M/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d",
 ]
+# Other spellings: what a text looks like, and how it is read.
+OTHER_FORMATS = [
+    (r"^[0-9]{8}$", "yyyyMMdd"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}( |$)", "d-M-yyyy[ H:mm[:ss]]"),
+    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}( |$)", "d MMM yyyy[ H:mm[:ss]]"),
+]
+HALF_DAY = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}(:[0-9]{2})? ?[AaPp][Mm]$"
 
 
 def as_timestamp(value: str | datetime | Column) -> Column:
@@ -26,16 +33,24 @@ def as_timestamp(value: str | datetime | Column) -> Column:
 
 
 def to_ts(c: Column) -> Column:
-    """ISO text, or one of a few slash formats; anything else gives NULL."""
+    """ISO text (also with AM or PM), or one of a few other formats; anything else gives NULL."""
     return _wall_clock(strip(c))
 
 
 def _wall_clock(s: Column) -> Column:
     # A failed parse is slow, so the slash formats are only tried on text with slashes.
     slashes = [F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in SLASH_FORMATS]
-    return F.when(s.rlike(ISO_START), s.try_cast("timestamp_ntz")).when(
-        s.rlike(SLASHES), F.coalesce(*slashes)
-    )
+    half = F.regexp_replace(F.upper(s), " ?([AP]M)$", " $1")
+    read = F.when(s.rlike(HALF_DAY), _parsed(half, "yyyy-M-d h:mm[:ss] a"))
+    read = read.when(s.rlike(ISO_START), s.try_cast("timestamp_ntz"))
+    read = read.when(s.rlike(SLASHES), F.coalesce(*slashes))
+    for looks, form in OTHER_FORMATS:
+        read = read.when(s.rlike(looks), _parsed(s, form))
+    return read
+
+
+def _parsed(s: Column, form: str) -> Column:
+    return F.try_to_timestamp(s, F.lit(form)).cast("timestamp_ntz")
 
 
 def courier_date(c: Column) -> Column:

@@ -58,20 +58,20 @@ def monthly_new_vs_repeat(
 ) -> DataFrame:
     """Revenue per month, split by whether the order fell on the customer's first order day.
 
-    Orders are first summed per customer and day: that leaves at most one row per day
-    of a customer for the join, however many orders the customer has.
+    Orders meet the first days directly: that side's rows can be split where a customer has
+    very many, and the months' sums combine on the map side, so orders are shuffled once.
     """
     recent = completed_only(orders).filter(F.col("order_date") >= months_before(as_of, months))
-    daily = recent.groupBy("customer_id", F.to_date("order_date").alias("day")).agg(
-        count_rows().alias("n"), F.sum("net_revenue").alias("amount")
+    days = recent.select(
+        "customer_id", "order_id", "net_revenue", F.to_date("order_date").alias("day")
     )
     first_days = customers.select("customer_id", F.to_date("first_order_date").alias("first_day"))
-    day, first_day, amount = F.col("day"), F.col("first_day"), F.col("amount")
+    day, first_day, amount = F.col("day"), F.col("first_day"), F.col("net_revenue")
     return (
-        lookup(daily, first_days, "customer_id", "customer_id", spread="day")
+        lookup(days, first_days, "customer_id", "customer_id", spread="order_id")
         .groupBy(F.date_format("day", "yyyy-MM").alias("month"))
         .agg(
-            F.sum("n").alias("orders"),
+            count_rows().alias("orders"),
             F.sum(amount).cast("decimal(28,2)").alias("revenue"),
             sum_if(day == first_day, amount).alias("revenue_new"),
             sum_if(day > first_day, amount).alias("revenue_repeat"),

@@ -1,15 +1,11 @@
 """Building blocks for work per key that stay even when one key holds much of the data."""
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_LIST_ROWS = 100_000
-MAX_JOIN_ROWS = 1_000_000
-MAX_BROADCAST_KEYS = 100_000
+# Elements of one piece of a list, for every key.
+PIECE_ROWS = 10_000
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, right_key: str, spread: str) -> DataFrame:
@@ -45,95 +41,55 @@ def _where(order: str, condition: Column | None) -> Column:
     return F.col(order) if condition is None else F.when(condition, F.col(order))
 
 
-@dataclass(frozen=True)
-class HotKeys:
-    """Keys with very many rows, in columns hot_<key>; `few` if they were counted as few."""
-
-    table: DataFrame
-    few: bool
-
-    def per_key(self, df: DataFrame) -> DataFrame:
-        """Mark a table with one row per hot key for broadcast, if it is small enough."""
-        return F.broadcast(df) if self.few else df
-
-    def split(self, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """The rows of all other keys, and the rows of the hot keys."""
-        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in keys])
-        hot = self.per_key(self.table)
-        return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> HotKeys | None:
-    """Keys with more than `max_rows` rows, or None if there are none (runs one count)."""
-    table = (
-        df.groupBy(*keys)
-        .count()
-        .filter(F.col("count") > max_rows)
-        .select(*[F.col(k).alias(f"hot_{k}") for k in keys])
-        .persist()
-    )
-    n = table.count()
-    if n == 0:
-        table.unpersist()
-        return None
-    return HotKeys(table, few=n <= MAX_BROADCAST_KEYS)
-
-
-def join_many(
-    one: DataFrame, many: DataFrame, keys: Sequence[str], hot: HotKeys | None
-) -> DataFrame:
+def join_many(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of a table unique per key to one with many rows per key.
 
-    Spark cannot split a hot key on the optional side of an outer join. But a hot key
-    surely has rows there, so for those keys an inner join does the same, and that one
-    needs no shuffle of the rows when the hot keys are few.
+    Spark cannot split a hot key on the optional side of an outer join, but on both sides of
+    an inner one. So the matches come from an inner join, and the rows without a match from an
+    anti join to the distinct keys, which combine on the map side.
     """
-    if hot is None:
-        return one.join(many, keys, "left")
-    one_rest, one_hot = hot.split(one, keys)
-    many_rest, many_hot = hot.split(many, keys)
-    rest = one_rest.join(many_rest, keys, "left")
-    return rest.unionByName(many_hot.join(hot.per_key(one_hot), keys))
+    alone = one.join(many.select(*keys).distinct(), keys, "left_anti")
+    return one.join(many, keys).unionByName(alone, allowMissingColumns=True)
 
 
 def ordered_lists(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
+    width: int,
     values: Sequence[str],
     name: str,
-    hot: HotKeys | None = None,
-    max_rows: int = MAX_LIST_ROWS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """One array of structs per key, sorted by `order` (ascending, NULL first).
+    """Arrays of structs per key, sorted by `order` (ascending, NULL first).
 
-    The list of a key in `hot` comes in several rows of at most `max_rows` elements;
-    `part` puts them in order (0 for a list in one piece). Such keys are sorted by
-    range, so their rows are spread over all tasks and no task or row holds them all.
+    The list of a key comes in pieces of `piece_rows` elements (the last may be shorter);
+    `part` numbers them from 0. Positions are found without bringing a key's rows into one
+    task: the first order column, a number, is cut into strips of `width`. Rows are numbered
+    within key and strip, and one row per strip tells how many come before. A strip should
+    hold few rows of a key.
     """
     rows = df.select(
         *keys,
+        F.coalesce(F.floor(F.col(order[0]) / width), F.lit(-(1 << 63))).alias("_strip"),
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_order"),
         F.struct(*values).alias("_value"),
     )
-
-    def collect(group: DataFrame, part: Column) -> DataFrame:
-        pairs = F.sort_array(F.collect_list(F.struct("_order", "_value")))
-        lists = group.groupBy(*keys, part.alias("part")).agg(pairs.alias(name))
-        return lists.withColumn(name, F.transform(name, lambda x: x["_value"]))
-
-    def collect_whole(group: DataFrame) -> DataFrame:
-        # Lists have nothing to combine on the map side, so rows are shipped as they are.
-        return collect(group.repartition(*keys), F.lit(0).cast("bigint"))
-
-    if hot is None:
-        return collect_whole(rows)
-    rest, long = hot.split(rows, keys)
-    sort = [*keys, "_order", F.xxhash64("_value")]
-    # The id counts the rows of a sorted task and grows with the task number, so its
-    # quotient is the same for at most max_rows neighbours and rises along the list.
-    piece = F.floor(F.monotonically_increasing_id() / max_rows) + 1
-    pieces = (
-        long.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("part", piece)
+    strip = [*keys, "_strip"]
+    numbered = rows.withColumn(
+        "_row", F.row_number().over(Window.partitionBy(*strip).orderBy("_order", "_value")) - 1
+    )
+    before = Window.partitionBy(*keys).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*strip).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"s_{c}") for c in strip],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in strip]
+    position = F.col("_start") + F.col("_row")
+    pairs = F.sort_array(F.collect_list(F.struct("_order", "_value")))
+    return (
+        numbered.join(starts, same)
+        .groupBy(*keys, F.floor(position / piece_rows).alias("part"))
+        .agg(pairs.alias("_pairs"))
+        .select(*keys, "part", F.transform("_pairs", lambda x: x["_value"]).alias(name))
     )
-    return collect_whole(rest).unionByName(collect(pieces, F.col("part")))

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadmill.functions.phones import normalize_phone
 from leadmill.operators.filters import filter_customers, filter_leads, filter_orders, parent_items
-from leadmill.operators.keyed import (
-    MAX_JOIN_ROWS, MAX_LIST_ROWS, hot_keys, join_many, lookup, ordered_lists,
-)
+from leadmill.operators.keyed import PIECE_ROWS, join_many, lookup, ordered_lists
 from leadmill.operators.paging import page_of, sort_columns
 
-# Names are short, so a list of this length is still a handy row.
-MAX_LIST_NAMES = 1_000_000
+# Strips of ordered_lists: ids of items, and microseconds of a month.
+ITEM_STRIP = 1024
+TIME_STRIP = 30 * 24 * 3600 * 1_000_000
 ORDER_KEY = ["order_id", "source_platform"]
 HISTORY_COLUMNS = [
     "order_id", "source_platform", "order_date", "order_status", "payment_method", "net_revenue",
@@ -79,19 +78,18 @@ def leads_enriched(leads: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def orders_with_product_list(
-    orders: DataFrame, items: DataFrame, max_list_rows: int = MAX_LIST_NAMES
+    orders: DataFrame, items: DataFrame, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Orders with the names of all their items, joined by ', ' in item order.
 
-    An order with more than `max_list_rows` named items comes in several rows, see
-    `ordered_lists`; every other order is one row with part 0.
+    There is a row for each `piece_rows` named items of an order, numbered by `part` from 0;
+    an order without any has one row.
     """
     named = items.filter(F.col("product_name").isNotNull())
-    hot = hot_keys(named, ORDER_KEY, max_list_rows)
     lists = ordered_lists(
-        named, ORDER_KEY, ["item_id"], ["product_name"], "names", hot, max_list_rows
+        named, ORDER_KEY, ["item_id"], ITEM_STRIP, ["product_name"], "names", piece_rows
     )
-    return join_many(orders, lists, ORDER_KEY, hot).select(
+    return join_many(orders, lists, ORDER_KEY).select(
         *ORDER_KEY,
         "customer_id",
         "order_date",
@@ -112,23 +110,14 @@ def with_order_count(customers: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def customer_order_items(
-    customers: DataFrame,
-    orders: DataFrame,
-    items: DataFrame,
-    max_join_rows: int = MAX_JOIN_ROWS,
-) -> DataFrame:
+def customer_order_items(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """Flat form of `customer_360`: one row per customer, order and parent item."""
     history = orders.filter(F.col("customer_id").isNotNull()).select(
         "customer_id", *HISTORY_COLUMNS
     )
     lines = parent_items(items).select(*ORDER_KEY, "item_id", *ITEM_COLUMNS)
-    hot_customers = hot_keys(history, ["customer_id"], max_join_rows)
-    hot_orders = hot_keys(lines, ORDER_KEY, max_join_rows)
-    bought = join_many(
-        with_order_count(customers, history), history, ["customer_id"], hot_customers
-    )
-    return join_many(bought, lines, ORDER_KEY, hot_orders)
+    bought = join_many(with_order_count(customers, history), history, ["customer_id"])
+    return join_many(bought, lines, ORDER_KEY)
 
 
 def customer_360(
@@ -136,13 +125,14 @@ def customer_360(
     orders: DataFrame,
     items: DataFrame,
     customer_ids: Sequence[str] | None = None,
-    max_list_rows: int = MAX_LIST_ROWS,
+    piece_rows: int = PIECE_ROWS,
+    item_piece_rows: int = 100,
 ) -> DataFrame:
     """Customers with nested orders (newest first), each with its parent items.
 
-    With `customer_ids` only the orders and items of those customers are used. A list
-    longer than `max_list_rows` is cut: its order or its customer then comes several
-    times, in the order of `item_part` or `part`.
+    With `customer_ids` only the orders and items of those customers are used. An order has an
+    entry per `item_piece_rows` items, numbered by `item_part`, and a customer a row per
+    `piece_rows` entries, numbered by `part`; so a row holds at most the product of both.
     """
     orders = orders.filter(F.col("customer_id").isNotNull())
     lines = parent_items(items)
@@ -150,13 +140,10 @@ def customer_360(
         customers = customers.filter(F.col("customer_id").isin(*customer_ids))
         orders = orders.filter(F.col("customer_id").isin(*customer_ids))
         lines = lines.join(orders.select(ORDER_KEY), ORDER_KEY, "left_semi")
-    hot_orders = hot_keys(lines, ORDER_KEY, max_list_rows)
     item_lists = ordered_lists(
-        lines, ORDER_KEY, ["item_id"], ITEM_COLUMNS, "items", hot_orders, max_list_rows
+        lines, ORDER_KEY, ["item_id"], ITEM_STRIP, ITEM_COLUMNS, "items", item_piece_rows
     ).withColumnRenamed("part", "item_part")
-    history = join_many(
-        orders.select("customer_id", *HISTORY_COLUMNS), item_lists, ORDER_KEY, hot_orders
-    )
+    history = join_many(orders.select("customer_id", *HISTORY_COLUMNS), item_lists, ORDER_KEY)
     # Ascending by this key is newest first with missing dates last.
     newest = -F.unix_micros(F.col("order_date").cast("timestamp"))
     history = history.withColumns(
@@ -166,24 +153,47 @@ def customer_360(
             "_newest": F.coalesce(newest, F.lit((1 << 63) - 1)),
         }
     )
-    # Unless an order was cut, a customer has one entry per order.
-    entries = orders if hot_orders is None else history
-    hot_customers = hot_keys(entries, ["customer_id"], max_list_rows)
     order_lists = ordered_lists(
         history,
         ["customer_id"],
         ["_newest", *ORDER_KEY, "item_part"],
+        TIME_STRIP,
         [*HISTORY_COLUMNS, "item_part", "items"],
         "orders",
-        hot_customers,
-        max_list_rows,
-    )
-    documents = join_many(
-        with_order_count(customers, orders), order_lists, ["customer_id"], hot_customers
+        piece_rows,
     )
+    documents = join_many(with_order_count(customers, orders), order_lists, ["customer_id"])
     return documents.withColumn("part", F.coalesce("part", F.lit(0)))
 
 
+def phone_lookup_orders(
+    phones: DataFrame, customers: DataFrame, orders: DataFrame, items: DataFrame, row_id: str
+) -> DataFrame:
+    """Customers by any spelling of their phone, with their orders and product names.
+
+    One row per asked row, order and list piece, to be sorted by order_date; rows whose phone
+    is not found have no order. Only orders and items of the customers found are listed.
+    """
+    asked = match_customers_by_phone(phones, customers, row_id)
+    found = asked.filter("match_status = 'found'").select(
+        F.col("normalized_phone").alias("customer_id")
+    ).distinct()
+    theirs = orders.join(found, "customer_id", "left_semi")
+    listed = orders_with_product_list(
+        theirs, items.join(theirs.select(ORDER_KEY), ORDER_KEY, "left_semi")
+    )
+    return join_many(
+        asked.select(row_id, F.col("normalized_phone").alias("customer_id"), "match_status"),
+        listed.filter(F.col("customer_id").isNotNull()),
+        ["customer_id"],
+    )
+
+
+def lead_detail(leads: DataFrame, customers: DataFrame, contact_ids: Sequence[str]) -> DataFrame:
+    """Leads by id, with the customer columns; the ids reach the scan as a filter."""
+    return leads_enriched(leads.filter(F.col("contact_id").isin(*contact_ids)), customers)
+
+
 def match_customers_by_phone(raw: DataFrame, customers: DataFrame, row_id: str) -> DataFrame:
     """Raw phones (column `phone`) resolved to customers, whose id is their phone.
 

@@ -23,13 +23,21 @@ from leadmill.operators.rules import (
 from leadmill.schemas import (
     COMPLETED, COURIER_HEADINGS, COURIER_PLATFORM, CUSTOMERS, MONEY, ORDER_ITEMS, ORDERS,
 )
-from leadmill.sources.files import append_table, conform, reload_table
+from leadmill.sources.files import (
+    append_table, conform, layout, reload_table, remove_folder,
+)
 
 
 def usable_rows(raw: DataFrame) -> DataFrame:
-    """Raw rows under short names, with a clean order id; rows without one are dropped."""
+    """Raw rows under short names, with a clean order id; rows without one are dropped.
+
+    Columns that the export lacks are NULL, as if they were empty."""
     short = raw.select(
-        *[F.col(f"`{heading}`").alias(name) for name, heading in COURIER_HEADINGS.items()],
+        *[
+            (F.col(f"`{heading}`") if heading in raw.columns else F.lit(None).cast("string"))
+            .alias(name)
+            for name, heading in COURIER_HEADINGS.items()
+        ],
         "row_no",
     )
     return short.withColumn("order_id", courier_text(F.col("order_id"))).filter(
@@ -202,6 +210,7 @@ class CourierImport:
         self.old_leads = leads
         self.as_of = as_of
         self.stage_dir = stage_dir
+        self._stages: list[str] = []
 
     @cached_property
     def fresh(self) -> DataFrame:
@@ -257,20 +266,34 @@ class CourierImport:
         return courier_report(self.raw, self.fresh, self._converted)
 
     def save(self, tables_dir: str, new_dir: str) -> None:
-        """Write customers and leads after the import to `new_dir`, then append the new
-        orders and items to `tables_dir`. Needs `stage_dir`, as an append changes what
-        the results derive from."""
+        """Write customers and leads after the import to `new_dir`, then append the new items
+        and orders to `tables_dir`, in the layout of the tables there.
+
+        Orders come last: until they are stored, a retry with the same export finds them new
+        again, replaces what is in `new_dir`, and skips items that are stored already. Needs
+        `stage_dir`, as an append changes what the results derive from; the staged tables are
+        removed at the end."""
         if self.stage_dir is None:
             raise ValueError("saving needs a stage_dir")
+        spark = self.raw.sparkSession
+        items_dir, orders_dir = f"{tables_dir}/order_items", f"{tables_dir}/orders"
         added_orders, added_items = self.new_orders, self.new_items
         reload_table(self.customers, f"{new_dir}/customers")
         reload_table(self.leads.drop("previous_track"), f"{new_dir}/leads")
-        append_table(added_orders, f"{tables_dir}/orders")
-        append_table(added_items, f"{tables_dir}/order_items")
+        if layout(spark, items_dir) is not None:
+            key = ["order_id", "source_platform"]
+            stored = spark.read.schema(ORDER_ITEMS).parquet(items_dir).select(key).distinct()
+            added_items = added_items.join(stored, key, "left_anti")
+        append_table(added_items, items_dir)
+        append_table(added_orders, orders_dir)
+        for path in self._stages:
+            remove_folder(spark, path)
+        self._stages.clear()
 
     def _staged(self, df: DataFrame, name: str) -> DataFrame:
         if self.stage_dir is None:
             return df
         path = f"{self.stage_dir}/{name}-{datetime.now():%Y%m%d%H%M%S%f}"
         df.write.parquet(path)
+        self._stages.append(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)

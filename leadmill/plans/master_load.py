@@ -5,7 +5,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from leadmill.functions.numbers import default_qty, integer_text, parse_rupiah, to_flag, to_num
+from leadmill.functions.numbers import default_qty, id_text, parse_rupiah, to_flag, to_num
 from leadmill.functions.text import valid_segment
 from leadmill.functions.times import to_ts
 from leadmill.operators.cleansing import null_orphan_fk, require_key, with_default_rows
@@ -81,7 +81,7 @@ def reload_orders(raw_orders: DataFrame, raw_items: DataFrame) -> dict[str, Data
         ORDERS,
         {
             "is_hpp": to_flag(F.col("is_hpp"), words),
-            "customer_id": integer_text(F.col("customer_id")),
+            "customer_id": id_text(F.col("customer_id")),
         },
     )
     items = typed(

@@ -27,6 +27,7 @@ def table(columns: str) -> StructType:
     return StructType([StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
+# Columns of the stored tables, in their order.
 CUSTOMERS = table(
     "customer_id string, name string, phone_raw string, address string, subdistrict string, "
     "city string, province string, all_provinces string, all_cities string, "

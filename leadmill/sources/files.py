@@ -38,20 +38,54 @@ def read_raw_csv(
     columns: Sequence[str] | None = None,
     *,
     row_no: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header, every column as text; no type inference, so no extra pass.
 
-    `multi_line` allows line breaks in quoted cells, at the price that a file is
-    no longer split between tasks.
+    Quoted cells may have line breaks, so a file is one task's work; `multi_line=False` is for
+    files known to have none, which are then split. Files may differ in the order of columns:
+    each is read by its own header, and a file that lacks a column gives NULL for it.
     """
-    raw = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-        .csv(path)
-    )
-    names = [c for c in (columns or raw.columns) if c in raw.columns]
+    def reader():
+        return (
+            spark.read.option("header", True).option("escape", '"')
+            .option("multiLine", multi_line).option("inferSchema", False)
+        )
+
+    # Files with the same header are read together; only headers come to the driver.
+    headers: dict[tuple, list[str]] = {}
+    for file in _files(spark, path):
+        headers.setdefault(tuple(reader().csv(file).columns), []).append(file)
+    every = list(dict.fromkeys(c for header in headers for c in header))
+    raw = None
+    for header, files in headers.items():
+        part = reader().csv(files).select(
+            "*", *([file_position().alias("row_no")] if row_no else [])
+        )
+        part = part.select(
+            *[F.col(f"`{c}`") if c in header else F.lit(None).cast("string").alias(c) for c in every],
+            *(["row_no"] if row_no else []),
+        )
+        raw = part if raw is None else raw.unionByName(part)
+    names = [c for c in (columns or every) if c in every]
     cells = [F.when(~F.col(f"`{c}`").isin(CSV_NULLS), F.col(f"`{c}`")).alias(c) for c in names]
-    return raw.select(*cells, *([file_position().alias("row_no")] if row_no else []))
+    return raw.select(*cells, *(["row_no"] if row_no else []))
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files of raw exports: a few, unlike those of a table."""
+    found = []
+    for p in [path] if isinstance(path, str) else path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        statuses = fs.globStatus(at)
+        if statuses is None or not len(statuses):
+            raise FileNotFoundError(p)
+        for status in statuses:
+            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            names = [(s.getPath().getName(), s.getPath().toString()) for s in inside if s.isFile()]
+            found += [full for name, full in sorted(names) if name[0] not in "._"]
+    return found
 
 
 def load_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -76,14 +110,62 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
-def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+def append_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> None:
+    """Append rows; a table that exists keeps its layout."""
+    stored = layout(df.sparkSession, path)
+    if partition_by is not None and stored is not None and list(partition_by) != stored:
+        raise ValueError(f"{path} is partitioned by {stored}")
+    by = stored if stored is not None else list(partition_by or [])
+    df.write.mode("append").partitionBy(*by).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def layout(spark: SparkSession, path: str) -> list[str] | None:
+    """The columns that a stored table is partitioned by; None if there is no table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    columns, empty = [], True
+    while True:
+        names = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName()[0] not in "._"]
+        empty = empty and not names
+        folders = [p for p in names if "=" in p.getName()]
+        if not folders:
+            return None if empty else columns
+        at = folders[0]
+        columns.append(at.getName().split("=")[0])
 
 
 def reload_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the whole table. The new rows must not be read from the table itself."""
-    target = path.rstrip("/").removeprefix("file:").replace("//", "/") + "/"
-    for f in df.inputFiles():
-        if target in f.replace("//", "/"):
+    target = _plain(path)
+    for root in _scanned(df):
+        if (_plain(root) + "/").startswith(target + "/") or (target + "/").startswith(_plain(root) + "/"):
             raise ValueError(f"{path} is also an input; write to a new folder instead")
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def _plain(path: str) -> str:
+    """A path without scheme and doubled slashes, to compare it."""
+    tail = path.split(":", 1)[1] if ":" in path.split("/", 1)[0] else path
+    return "/" + "/".join(p for p in tail.split("/") if p)
+
+
+def _scanned(df: DataFrame) -> list[str]:
+    """Root paths of the file scans of a plan: one or a few per scan, however many files."""
+    roots, todo = [], [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.getClass().getSimpleName() == "LogicalRelation":
+            relation = node.relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                paths = relation.location().rootPaths()
+                roots += [paths.apply(i).toString() for i in range(paths.size())]
+    return roots

@@ -164,3 +164,25 @@ def test_contains_text_takes_wildcards_and_ignores_case(spark):
     assert evaluate(spark, lambda c: text.contains_text(c, "b_d"), ["aBcDe", "abd", None]) == [
         True, False, None,
     ]
+
+
+def test_ids_that_are_no_numbers_stay(spark):
+    check(spark, numbers.id_text, {"123.0": "123", "": None, "NaN": None, "C12": "C12", " 8 ": "8",
+                                   None: None})
+
+
+def test_contains_text_takes_a_backslash_as_itself(spark):
+    values = ["a\\b", "ab", "x\\", None]
+    assert evaluate(spark, lambda c: text.contains_text(c, "a\\b"), values) == [True, False, False, None]
+    assert evaluate(spark, lambda c: text.contains_text(c, "\\"), values) == [True, False, True, None]
+
+
+def test_other_date_spellings(spark):
+    cases = {
+        "20240105": "2024-01-05 00:00:00", "31-12-2023": "2023-12-31 00:00:00",
+        "31-12-2023 7:05": "2023-12-31 07:05:00", "12 Jan 2024": "2024-01-12 00:00:00",
+        "2024-01-05 10:00 PM": "2024-01-05 22:00:00", "2024-01-05 12:00:01 am": "2024-01-05 00:00:01",
+        "20241305": None, "99-99-2023": None,
+    }
+    got = evaluate(spark, times.to_ts, list(cases))
+    assert [None if x is None else str(x) for x in got] == list(cases.values())

@@ -152,6 +152,41 @@ def test_second_import_inserts_nothing(spark, raw, stored, tmp_path):
     assert second.new_customers.count() == 0
 
 
+@pytest.mark.parametrize("layout", [[], ["source_platform"]])
+def test_failed_save_can_be_retried(spark, raw, stored, tmp_path, monkeypatch, layout):
+    customers, orders, leads = stored
+    tables, new, stage = (str(tmp_path / d) for d in ("tables", "new", "stage"))
+    append_table(orders, f"{tables}/orders", layout)
+    before = load_table(spark, f"{tables}/orders", ORDERS)
+    real, calls = courier_import.append_table, []
+
+    def failing(df, path, *args):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("no more room")
+        real(df, path, *args)
+
+    monkeypatch.setattr(courier_import, "append_table", failing)
+    with pytest.raises(OSError):
+        courier_import.CourierImport(raw, customers, before, leads, NOW, stage).save(tables, new)
+    courier_import.CourierImport(raw, customers, before, leads, NOW, stage).save(tables, new)
+    assert load_table(spark, f"{tables}/order_items", ORDER_ITEMS).count() == 7
+    assert load_table(spark, f"{tables}/orders", ORDERS).count() == 7
+    # The second run removed its staged tables, the failed one left its own.
+    assert len(list((tmp_path / "stage").iterdir())) == 2
+
+
+@pytest.mark.parametrize("gone", ["Shipping Fee", "Product Value", "COD", "Province"])
+def test_export_without_a_heading(raw, stored, gone):
+    from leadmill.schemas import COURIER_HEADINGS
+
+    names = [h for h in COURIER_HEADINGS.values() if h.lower() == gone.lower()] or [
+        list(COURIER_HEADINGS.values())[-1]
+    ]
+    done = courier_import.CourierImport(raw.drop(*names), *stored, NOW)
+    assert done.new_orders.count() == 5
+
+
 def test_saving_needs_a_stage(imported, tmp_path):
     with pytest.raises(ValueError):
         imported.save(str(tmp_path), str(tmp_path))

@@ -54,7 +54,7 @@ def test_first_and_last_row_per_key(spark):
 def test_product_lists_of_hot_orders_are_cut_but_whole(skewed):
     _, orders, items = skewed
     whole = views.orders_with_product_list(orders, items)
-    cut = views.orders_with_product_list(orders, items, max_list_rows=50)
+    cut = views.orders_with_product_list(orders, items, piece_rows=50)
     longest = cut.agg(F.max(F.size(F.split("products", ", ")))).first()[0]
     assert longest <= 50
     assert cut.filter("part > 0").count() > 10
@@ -78,7 +78,7 @@ def flat(documents):
 
 def test_customer_documents_with_hot_keys(skewed):
     whole = views.customer_360(*skewed)
-    cut = views.customer_360(*skewed, max_list_rows=20)
+    cut = views.customer_360(*skewed, piece_rows=20, item_piece_rows=20)
     assert cut.agg(F.max(F.size("orders"))).first()[0] <= 20
     inner = cut.select(F.explode("orders").alias("o")).agg(F.max(F.size("o.items")))
     assert inner.first()[0] <= 20
@@ -100,11 +100,23 @@ def test_documents_of_some_customers(skewed):
     assert spark_rows(flat(some))[2] == spark_rows(flat(expected))[2]
 
 
-def test_flat_history_with_hot_keys(skewed):
-    columns = ["customer_id", "order_count", "order_id", "product_raw", "qty_item"]
-    whole = views.customer_order_items(*skewed).select(columns)
-    cut = views.customer_order_items(*skewed, max_join_rows=20).select(columns)
-    assert spark_rows(cut)[2] == spark_rows(whole)[2]
+def test_left_join_to_many(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    many = spark.createDataFrame([("a", 1), ("a", 2), ("z", 3), (None, 4)], "k string, w int")
+    got = keyed.join_many(one, many, ["k"]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, one.join(many, "k", "left").collect()))
+
+
+def test_pieces_do_not_depend_on_partitions(skewed, spark):
+    _, orders, items = skewed
+    found = []
+    for n in ("2", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(spark_rows(views.orders_with_product_list(orders, items, piece_rows=7))[2])
+    assert found[0] == found[1]
+    parts = [r["part"] for r in views.orders_with_product_list(orders, items, piece_rows=7)
+             .filter("order_id = '5' and source_platform = 'mengantar'").select("part").collect()]
+    assert sorted(parts) == list(range(len(parts))) and len(parts) > 10
 
 
 @pytest.mark.parametrize("page", [1, 4, 15, 16])

@@ -28,7 +28,7 @@ def test_csv_row_numbers_follow_the_file(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        df = files.read_raw_csv(spark, path, row_no=True)
+        df = files.read_raw_csv(spark, path, row_no=True, multi_line=False)
         assert df.rdd.getNumPartitions() > 3
         rows = [int(r["v"]) for r in df.orderBy("row_no").collect()]
     finally:
@@ -39,10 +39,32 @@ def test_csv_row_numbers_follow_the_file(spark, tmp_path):
 
 def test_multi_line_cells(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'a,b\n"two\nlines",x\n')
-    row = files.read_raw_csv(spark, path, multi_line=True).first()
+    row = files.read_raw_csv(spark, path).first()
     assert tuple(row) == ("two\nlines", "x")
 
 
+def test_files_with_other_column_orders(spark, tmp_path):
+    write(tmp_path / "a.csv", "x,y\n1,2\n")
+    write(tmp_path / "b.csv", "y,x\n4,3\n")
+    write(tmp_path / "c.csv", "y\n6\n")
+    df = files.read_raw_csv(spark, str(tmp_path), row_no=True)
+    assert df.columns == ["x", "y", "row_no"]
+    rows = [(r["x"], r["y"]) for r in df.orderBy("row_no").collect()]
+    assert rows == [("1", "2"), ("3", "4"), (None, "6")]
+
+
+def test_appending_keeps_the_layout(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "orders")
+    orders = Model(spark, sf_dir).orders
+    assert files.layout(spark, path) is None
+    files.append_table(orders, path, ["source_platform"])
+    assert files.layout(spark, path) == ["source_platform"]
+    files.append_table(orders, path)
+    assert spark.read.parquet(path).count() == 2 * orders.count()
+    with pytest.raises(ValueError):
+        files.append_table(orders, path, ["source_month"])
+
+
 def test_append_reload_and_load(spark, tmp_path):
     folder = str(tmp_path)
     lead = files.conform(spark.range(3).select(F.col("id").cast("string").alias("contact_id")), LEADS)

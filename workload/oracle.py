@@ -146,6 +146,16 @@ oracle("list_customers_by_phone", f"""{CUSTOMER_PAGE}
 WHERE customer_id LIKE '62800000001%'
 ORDER BY last_order_date DESC NULLS LAST, customer_id LIMIT 100""")
 
+oracle("list_customers_backslash", f"""{CUSTOMER_PAGE}
+WHERE contains(lower(name), 'customer\\#0000001')
+ORDER BY last_order_date DESC NULLS LAST, customer_id LIMIT 500""")
+
+oracle("list_orders_deep_page", f"""
+SELECT order_id, source_platform, order_date, customer_name, order_status, payment_method,
+       {double('net_revenue')} AS net_revenue, {double('shipping_cost')} AS shipping_cost,
+       shipping_provider, total_qty
+FROM m_orders ORDER BY order_date DESC NULLS LAST, order_id, source_platform LIMIT 100 OFFSET 1200""")
+
 oracle("list_orders_page", f"""
 SELECT order_id, source_platform, order_date, customer_name, order_status, payment_method,
        {double('net_revenue')} AS net_revenue, {double('shipping_cost')} AS shipping_cost,
@@ -186,6 +196,26 @@ LEFT JOIN (SELECT order_id, source_platform,
            FROM m_items GROUP BY ALL) AS i
   ON o.order_id = i.order_id AND o.source_platform = i.source_platform""")
 
+PIECES = """
+SELECT order_id, source_platform, part, string_agg(product_name, ', ' ORDER BY item_id) AS products
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY order_id, source_platform ORDER BY item_id) - 1)
+                     // 2 AS BIGINT) AS part
+      FROM m_items WHERE product_name IS NOT NULL)
+GROUP BY ALL"""
+oracle("orders_with_cut_product_list", f"""
+SELECT o.order_id, o.source_platform, customer_id, order_date, order_status, payment_method,
+       {double('net_revenue')} AS net_revenue, {double('shipping_cost')} AS shipping_cost,
+       total_qty, coalesce(part, CAST(0 AS BIGINT)) AS part, products
+FROM m_orders AS o LEFT JOIN ({PIECES}) AS i
+  ON o.order_id = i.order_id AND o.source_platform = i.source_platform""")
+
+oracle("lead_detail", f"""
+SELECT contact_id, l.name, phone, l.customer_id, c.segment, c.total_orders,
+       {double('c.total_revenue')} AS total_revenue,
+       c.last_order_date AS customer_last_order_date
+FROM m_leads AS l LEFT JOIN m_customers AS c ON l.customer_id = c.customer_id
+WHERE contact_id = (SELECT min(contact_id) FROM m_leads)""")
+
 oracle("leads_enriched", f"""
 SELECT contact_id, l.name, phone, l.customer_id, c.segment, c.total_orders,
        {double('c.total_revenue')} AS total_revenue,
@@ -222,6 +252,20 @@ SELECT n.row_id, n.phone, normalized_phone, name, segment, total_orders,
 FROM (SELECT row_id, phone, {normalized('phone')} AS normalized_phone FROM m_messy_phones) AS n
 LEFT JOIN m_customers AS c ON n.normalized_phone = c.customer_id""")
 
+oracle("phone_lookup_orders", f"""
+SELECT n.row_id, normalized_phone AS customer_id,
+       CASE WHEN normalized_phone IS NULL THEN 'invalid' WHEN c.customer_id IS NULL THEN 'not_found'
+            ELSE 'found' END AS match_status,
+       o.order_id, o.source_platform, o.order_date, {double('o.net_revenue')} AS net_revenue,
+       CASE WHEN o.order_id IS NOT NULL THEN CAST(0 AS BIGINT) END AS part, products
+FROM (SELECT row_id, {normalized('phone')} AS normalized_phone FROM m_messy_phones) AS n
+LEFT JOIN m_customers AS c ON n.normalized_phone = c.customer_id
+LEFT JOIN m_orders AS o ON o.customer_id = c.customer_id
+LEFT JOIN (SELECT order_id, source_platform,
+                  string_agg(product_name, ', ' ORDER BY item_id) AS products
+           FROM m_items GROUP BY ALL) AS i
+  ON o.order_id = i.order_id AND o.source_platform = i.source_platform""")
+
 # --- cleansing -------------------------------------------------------------------
 
 

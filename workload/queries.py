@@ -118,6 +118,16 @@ def list_customers_search(m):
     )
 
 
+@query
+def list_customers_backslash(m):
+    return views.list_customers(m.customers, limit=500, search="customer\\#0000001")
+
+
+@query
+def list_orders_deep_page(m):
+    return views.list_orders(m.orders, page=13, limit=100)
+
+
 @query
 def list_customers_by_phone(m):
     return views.list_customers(m.customers, limit=100, search="0800-0000-01")
@@ -170,6 +180,29 @@ def orders_with_product_list(m):
     return views.orders_with_product_list(m.orders, m.items)
 
 
+@query
+def orders_with_cut_product_list(m):
+    return views.orders_with_product_list(m.orders, m.items, piece_rows=2)
+
+
+@query
+def phone_lookup_orders(m):
+    found = views.phone_lookup_orders(m.messy_phones, m.customers, m.orders, m.items, "row_id")
+    return found.select(
+        "row_id", "customer_id", "match_status", "order_id", "source_platform", "order_date",
+        "net_revenue", "part", "products",
+    )
+
+
+@query
+def lead_detail(m):
+    ids = [r.contact_id for r in m.leads.select("contact_id").orderBy("contact_id").limit(1).collect()]
+    return views.lead_detail(m.leads, m.customers, ids).select(
+        "contact_id", "name", "phone", "customer_id", "segment", "total_orders", "total_revenue",
+        "customer_last_order_date",
+    )
+
+
 @query
 def leads_enriched(m):
     return views.leads_enriched(m.leads, m.customers).select(
