@@ -137,8 +137,44 @@ def _postings(docs: DataFrame, classes, how: Similarity) -> DataFrame:
     return docs.where("id is not null").mapInPandas(work, "token long, id long, n long")
 
 
+def _profiled(texts: DataFrame, how: Similarity) -> DataFrame:
+    """Add profile: how many of a set's shingles fall in each of 256 places by hash, 255 for
+    that many or more."""
+
+    def work(batches):
+        for pdf in batches:
+            counts = [np.bincount((shingle_set(t, how.words) >> np.uint64(56)).astype(np.int64), minlength=256) for t in pdf["text"]]
+            yield pdf.assign(profile=[np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts])
+
+    return texts.select("id", "text").mapInPandas(work, "id long, text string, profile binary")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """The pairs whose profiles leave room for enough common shingles; this loses no link.
+
+    Two sets share in each place at most the smaller of their counts there. A profile is a
+    small part of a text, so most candidates go before texts are brought together.
+    """
+
+    def work(batches):
+        for pdf in batches:
+            x, y = (
+                np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, 256).astype(np.int64)
+                for c in ("profile_a", "profile_b")
+            )
+            # 100 * both >= percent * (x + y - both), with the most that both can be.
+            room = (100 + how.percent) * np.minimum(x, y).sum(1) >= how.percent * (x + y).sum(1)
+            keep = room | (x == 255).any(1) | (y == 255).any(1)
+            yield pdf.loc[keep, ["a", "b"]]
+
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("profile").alias(f"profile_{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "profile_a", "profile_b").mapInPandas(work, "a long, b long").distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, classes, how: Similarity) -> DataFrame:
     """The pairs (a, b) whose sets pass the other orders' filters and are similar enough."""
+    pairs = stage(_possible(pairs, texts, how), "pairs").df
 
     def work(batches):
         table, known = classes.value, OrderedDict()
@@ -205,7 +241,14 @@ def near_duplicates(
     index = stage(_several(stage(index, "index").df, "rep").withColumn("comp", F.col("rep")), "index")
     postings.drop()
     needed = to_texts(index.df.select(F.col("rep").alias("id")).distinct(), "needed")
-    texts = stage(docs.where("id is not null").join(needed, "id", "left_semi").distinct(), "texts")
+    wanted = docs.where("id is not null").join(needed, "id", "left_semi")
+    again = to_texts(whole.df.groupBy("id").count().where("count > 1").select("id"), "again")
+    if not again.isEmpty():
+        # Rows that repeat an id are brought together; all other texts stay where they are.
+        wanted = wanted.join(again, "id", "left_anti").unionByName(
+            wanted.join(again, "id", "left_semi").distinct()
+        )
+    texts = stage(_profiled(wanted, how), "texts")
 
     # One comparison for each representative.
     rank = F.struct(F.xxhash64("rep").alias("k"), "rep", "n")
