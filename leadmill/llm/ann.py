@@ -144,12 +144,15 @@ class Router:
     def best(self, x: np.ndarray) -> np.ndarray:
         return self.probabilities(x).argmax(1)
 
-    def probes(self, x: np.ndarray) -> list[np.ndarray]:
+    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """Parts to search: those of the mass, and on until they hold `least` vectors."""
         p = self.probabilities(x)
         order = np.argsort(-p, 1, kind="stable")
         p = np.take_along_axis(p, order, 1)
         before = np.cumsum(p, 1) - p
-        return [o[: max(1, int((b <= self.mass).sum()))] for o, b in zip(order, before)]
+        enough = (np.cumsum(sizes[order], 1) < least).sum(1) + 1
+        mass = (before <= self.mass).sum(1)
+        return [o[: max(a, b)] for o, a, b in zip(order, mass, enough)]
 
 
 def _stack(column) -> np.ndarray:
@@ -196,7 +199,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     def route(batches):
         for pdf in batches:
             x = _stack(pdf["vec"]) if len(pdf) else np.zeros((0, 1))
-            to = router.probes(x) if router else [np.zeros(1, np.int64)] * len(x)
+            to = router.probes(x, sizes, 4 * (k + 1)) if router else [np.zeros(1, np.int64)] * len(x)
             at = np.repeat(np.arange(len(x)), [len(t) for t in to])
             yield pd.DataFrame(
                 {"query": pdf["key"].to_numpy()[at], "part": np.concatenate(to) if len(x) else [],
@@ -206,6 +209,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     placed = stage(
         distinct.mapInPandas(place, "key long, first_id long, part long, x binary"), "placed"
     ).df
+    sizes = np.zeros(router.w.shape[1] if router else 1, np.int64)
+    for r in placed.groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
     queries = stage(
         rows.where(F.col("vec_id") % every == 0).select("key", "vec").dropDuplicates(["key"])
         .mapInPandas(route, "query long, part long, x binary"),
