@@ -11,9 +11,6 @@ SETTINGS = {
     # Row-preserving joins on customer, phone or order keys can meet a hot key;
     # AQE splits such a partition on the probing side.
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Beyond this size the JVM does not compile a method. The wide cleansing
-    # projections can exceed it, and then run faster without whole-stage codegen.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -333,7 +333,6 @@ SELECT product_name, product_price, product_cost, {double(rupiah('product_price'
        {double(rupiah('product_cost'))} AS cost
 FROM m_raw_products""")
 
-NAIVE = r"^[0-9-]+ [0-9:.]+$"
 oracle("clean_lead_times", f"""
 SELECT row_no,
        CASE WHEN created_at LIKE '%+07:00'
