@@ -4,7 +4,8 @@ If two sets are similar enough, then under any one order of all shingles the fir
 set, its prefix, share a shingle. Here shingles are ordered by how common they are, in coarse
 classes, and within a class by a random order. Candidates share a prefix shingle under the
 first order, by an inverted index; of them, those stay that also share one under each of the
-other orders; what stays is verified on the whole sets.
+other orders; what stays is verified on the whole sets. Where the first common shingle stands
+far back in the order, too few can follow, so such candidates aren't made.
 
 Equal sets are joined by a digest and go on as one representative. Large groups of near copies
 would still give all their pairs. Therefore each representative is first compared with one
@@ -24,7 +25,7 @@ from leadmill.llm.shingles import mix, shingle_set
 from leadmill.llm.staging import stage, to_texts
 
 #: Places of the table that counts shingles by hash; it has this fixed size at any scale.
-SKETCH_BITS = 21
+SKETCH_BITS = 22
 _BLOCKS = 64
 #: Partial counts of one block that are added up by one task.
 _FAN_IN = 64
@@ -41,9 +42,12 @@ class Similarity:
     def prefix(self, n: int) -> int:
         return n - -(-n * self.percent // 100) + 1
 
-    def sizes(self, a: str, b: str):
-        """Whether sets of these sizes can be similar enough."""
-        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+    def room(self, n: str, pos: str, n2: str, pos2: str):
+        """Whether sets of these sizes, whose first common shingle has these positions in the
+        order, can be similar enough: all common ones stand there or later. A pair that is
+        similar passes at its first common shingle."""
+        most = F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2))
+        return (100 + self.percent) * most >= self.percent * (F.col(n) + F.col(n2))
 
 
 def _signatures(docs: DataFrame, how: Similarity) -> DataFrame:
@@ -101,40 +105,51 @@ def _classes(counts: DataFrame) -> np.ndarray:
         table[r.block] += np.frombuffer(r.counts, np.int64)
     now.drop()
     table = table.reshape(-1)
-    usual = 2 * table.mean() + 8
+    mean = table.mean()
+    usual = mean + 3 * np.sqrt(mean) + 2
     return np.ceil(np.log2(np.maximum(table / usual, 1))).astype(np.uint8)
 
 
 def _prefix(h: np.ndarray, classes: np.ndarray, order: int, how: Similarity) -> np.ndarray:
+    """The first shingles of a set under an order, in that order."""
     k = how.prefix(len(h))
     common = classes[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
     rank = (common << np.uint64(58)) | (mix(h ^ _SEEDS[order]) >> np.uint64(6))
-    return h[np.argpartition(rank, k - 1)[:k]] if k < len(h) else h
+    first = np.argpartition(rank, k - 1)[:k] if k < len(h) else np.arange(len(h))
+    return h[first[np.argsort(rank[first])]]
 
 
 def _postings(docs: DataFrame, classes, how: Similarity) -> DataFrame:
-    """token, id and n for each shingle of each document's prefix under the first order."""
+    """token, id, n and pos for each shingle of each document's prefix under the first order."""
+
+    def frame(block):
+        sizes = [len(p) for p, _, _ in block]
+        return pd.DataFrame(
+            {
+                "token": np.concatenate([p.view(np.int64) for p, _, _ in block]),
+                "id": np.repeat([i for _, i, _ in block], sizes),
+                "n": np.repeat([n for _, _, n in block], sizes),
+                "pos": np.concatenate([np.arange(k) for k in sizes]),
+            }
+        )
 
     def work(batches):
         table = classes.value
         for pdf in batches:
-            tokens, ids, sizes, held = [], [], [], 0
+            block, held = [], 0
             for i, text in zip(pdf["id"], pdf["text"]):
                 h = shingle_set(text, how.words)
                 if not len(h):
                     continue
-                p = _prefix(h, table, 0, how)
-                tokens.append(p.view(np.int64))
-                ids.append(np.full(len(p), i, np.int64))
-                sizes.append(np.full(len(p), len(h), np.int64))
-                held += len(p)
+                block.append((_prefix(h, table, 0, how), i, len(h)))
+                held += len(block[-1][0])
                 if held > 200_000:
-                    yield pd.DataFrame({"token": np.concatenate(tokens), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
-                    tokens, ids, sizes, held = [], [], [], 0
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "id": np.concatenate(ids), "n": np.concatenate(sizes)})
+                    yield frame(block)
+                    block, held = [], 0
+            if block:
+                yield frame(block)
 
-    return docs.where("id is not null").mapInPandas(work, "token long, id long, n long")
+    return docs.where("id is not null").mapInPandas(work, "token long, id long, n long, pos long")
 
 
 def _profiled(texts: DataFrame, how: Similarity) -> DataFrame:
@@ -237,7 +252,7 @@ def near_duplicates(
     postings = stage(_postings(docs, classes, how), "postings")
     shared = postings.df.groupBy("token").count().where("count > 1").select("token")
     members = whole.df.where("n > 0 and id is not null").select("id", "rep").distinct()
-    index = postings.df.join(shared, "token").join(members, "id").select("token", "rep", "n").distinct()
+    index = postings.df.join(shared, "token").join(members, "id").select("token", "rep", "n", "pos").distinct()
     index = stage(_several(stage(index, "index").df, "rep").withColumn("comp", F.col("rep")), "index")
     postings.drop()
     needed = to_texts(index.df.select(F.col("rep").alias("id")).distinct(), "needed")
@@ -251,11 +266,11 @@ def near_duplicates(
     texts = stage(_profiled(wanted, how), "texts")
 
     # One comparison for each representative.
-    rank = F.struct(F.xxhash64("rep").alias("k"), "rep", "n")
+    rank = F.struct(F.xxhash64("rep").alias("k"), "rep", "n", "pos")
     best = index.df.groupBy("token").agg(F.min(rank).alias("hub"))
     hubs = (
         index.df.join(best, "token")
-        .where((F.col("rep") != F.col("hub.rep")) & how.sizes("n", "hub.n"))
+        .where((F.col("rep") != F.col("hub.rep")) & how.room("n", "pos", "hub.n", "hub.pos"))
         .groupBy("rep").agg(F.min("hub").alias("hub"))
         .select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
     )
@@ -265,17 +280,17 @@ def near_duplicates(
     # All pairs that are not yet in one component.
     labelled = stage(
         index.df.drop("comp").join(roots.df.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("token", "rep", "n", F.coalesce("root", "rep").alias("comp")),
+        .select("token", "rep", "n", "pos", F.coalesce("root", "rep").alias("comp")),
         "index",
     )
     index.drop()
     rest = stage(_several(labelled.df, "comp"), "index")
     labelled.drop()
-    x, y = (rest.df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp")]) for s in "xy")
+    x, y = (rest.df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "pos", "comp")]) for s in "xy")
     pairs = (
         x.join(y, "token")
         .where((F.col("comp_x") != F.col("comp_y")) & (F.col("rep_x") < F.col("rep_y")))
-        .where(how.sizes("n_x", "n_y"))
+        .where(how.room("n_x", "pos_x", "n_y", "pos_y"))
         .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
         .distinct()
     )
