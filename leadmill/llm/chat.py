@@ -142,7 +142,8 @@ def _symbols(lines, firsts) -> np.ndarray:
 def train(parts: DataFrame) -> Model:
     """Count on the chunks of conversations outside the held-out fold, on rows with a known role.
 
-    Each count starts at a half. Without known roles all states are equally likely, but a role
+    Lines are counted as the table's rows have them and as one text without rows, as transcripts
+    are pasted. Each count starts at a half. Without known roles all states are equally likely, but a role
     changes at the first line of a turn only.
     """
 
@@ -153,12 +154,15 @@ def train(parts: DataFrame) -> Model:
             seen = np.zeros((STATES, SYMBOLS), np.int64)
             for lines, firsts, roles, no in zip(pdf["lines"], pdf["firsts"], pdf["roles"], pdf["begins"]):
                 last = None
-                for s, f, role in zip(_symbols(lines, firsts), firsts, roles):
+                # As one text, in which only its first line begins a row.
+                joined = _symbols(lines, [firsts[0]] + [False] * (len(lines) - 1))
+                for s, j, f, role in zip(_symbols(lines, firsts), joined, firsts, roles):
                     if role not in ROLES:
                         last = None
                         continue
                     state = 2 * ROLES.index(role) + (not f)
                     seen[state, s] += 1
+                    seen[state, j] += 1
                     if last is not None:
                         step[last, state] += 1
                     elif no:

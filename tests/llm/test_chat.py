@@ -77,3 +77,12 @@ def test_edges(spark):
     assert lines == {1: 2, None: 2, 2: 1, 3: 20001}
     assert chat.parse(df.limit(0)).count() == 0
     assert chat.parse(df.drop("role")).count() >= 4
+
+
+def test_turns_may_share_a_row(spark):
+    model = chat.train(chat.chunks(chat.transcribe(spark.read.parquet(f"{BIG}/conversations.parquet"))))
+    turns = [("user", "hi"), ("assistant", "hello"), ("user", "bye"), ("assistant", "ok")]
+    styles = ["{}: {}", "<|im_start|>{}\n{}<|im_end|>", "### {}:\n{}"]
+    texts = [(k, 0, "\n".join(s.format(*t) for t in turns)) for k, s in enumerate(styles)]
+    rows = chat.parse(spark.createDataFrame(texts, "conv_id long, turn long, text string"), model).collect()
+    assert key(rows) == [(k, n, *t) for k in range(len(styles)) for n, t in enumerate(turns)]
