@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadmill.llm import (
-    ann, bpe, chat, decontaminate, langid, ngram_join, passages, sharding, toxicity, warc,
+    ann, bpe, chat, decontaminate, langid, ngram_join, passages, resample, sharding, token_files,
+    toxicity, vector_codes, warc,
 )
 from leadmill.llm.folds import held_out
 from leadmill.llm.staging import new_folder
@@ -13,6 +14,7 @@ from leadmill.llm.tables import table
 VOCABULARY = bpe.Vocabulary(
     public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 )
+TOKENS = token_files.Format(public_tokenizers.path("word_bpe_49k.json"))
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
 
@@ -78,11 +80,39 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five percent of the documents, drawn towards the benchmark's n-grams."""
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code and the exact error of every embedding."""
+    codes = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    sha = F.create_map(
+        F.lit(-1), F.lit(""),
+        *[F.lit(v) for n, books in codes.codebooks.items() for v in (n, vector_codes.digest(books))],
+    )
+    return vector_codes.label_errors(codes.df).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        sha[F.col("length")].alias("codebooks_sha256"),
+    )
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to files of token sequences and read back."""
+    folder = new_folder(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    token_files.write(docs, folder, TOKENS)
+    return token_files.read_digests(spark, folder, docs.schema["doc_id"].dataType.simpleString())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_ngram_join, op3_sharding, op4_language_id, op5_decontamination,
         op6_toxicity, op7_warc, op8_byte_bpe, op9_nearest_neighbours, op10_substring_dedup,
+        op11_importance_resampling, op12_vector_codes, op13_token_files,
     )
 }
 ORACLES = {"op3_sharding": sharding.oracle(SHARD_BYTES)}
