@@ -1,8 +1,12 @@
 """Building blocks for work per key that stay even when one key holds much of the data."""
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from leadmill.sources.staging import stage
 
 # Elements of one piece of a list, for every key.
 PIECE_ROWS = 10_000
@@ -41,55 +45,76 @@ def _where(order: str, condition: Column | None) -> Column:
     return F.col(order) if condition is None else F.when(condition, F.col(order))
 
 
-def join_many(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_many(
+    one: DataFrame, many: DataFrame, keys: Sequence[str], matched: DataFrame | None = None
+) -> DataFrame:
     """Left join of a table unique per key to one with many rows per key.
 
     Spark cannot split a hot key on the optional side of an outer join, but on both sides of
     an inner one. So the matches come from an inner join, and the rows without a match from an
-    anti join to the distinct keys, which combine on the map side.
+    anti join to the distinct keys, which combine on the map side. Give `matched`, a table with
+    the same keys as `many`, where that is cheaper to read.
     """
-    alone = one.join(many.select(*keys).distinct(), keys, "left_anti")
+    found = (many if matched is None else matched).select(*keys).distinct()
+    alone = one.join(found, keys, "left_anti")
     return one.join(many, keys).unionByName(alone, allowMissingColumns=True)
 
 
+@dataclass(frozen=True)
+class OrderedLists:
+    """Lists in pieces, and the written rows they are made of, which have all their keys."""
+
+    lists: DataFrame
+    rows: DataFrame
+
+
 def ordered_lists(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    width: int,
     values: Sequence[str],
     name: str,
     piece_rows: int = PIECE_ROWS,
-) -> DataFrame:
+) -> OrderedLists:
     """Arrays of structs per key, sorted by `order` (ascending, NULL first).
 
     The list of a key comes in pieces of `piece_rows` elements (the last may be shorter);
-    `part` numbers them from 0. Positions are found without bringing a key's rows into one
-    task: the first order column, a number, is cut into strips of `width`. Rows are numbered
-    within key and strip, and one row per strip tells how many come before. A strip should
-    hold few rows of a key.
+    `part` numbers them from 0. The rows are sorted by ranges of key and order, cut at counted
+    sample quantiles, and written once. So a frequent key is spread over several tasks, even if
+    its order columns are all NULL or equal: a hash of the values and then the place in the
+    input come after them. Rows per range, summed up, give every row its place among all, and
+    its place in the list is how far that is from the first of its key.
     """
+    by = [*keys, "_order", "_hash", "_tie"]
     rows = df.select(
         *keys,
-        F.coalesce(F.floor(F.col(order[0]) / width), F.lit(-(1 << 63))).alias("_strip"),
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_order"),
+        F.xxhash64(*values).alias("_hash"),
+        F.monotonically_increasing_id().alias("_tie"),
         F.struct(*values).alias("_value"),
     )
-    strip = [*keys, "_strip"]
-    numbered = rows.withColumn(
-        "_row", F.row_number().over(Window.partitionBy(*strip).orderBy("_order", "_value")) - 1
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    kept = stage(
+        dealt.select(*keys, "_value", F.spark_partition_id().alias("_range"), inside.alias("_row")),
+        name,
     )
-    before = Window.partitionBy(*keys).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*strip).agg(F.count(F.lit(1)).alias("_n")).select(
-        *[F.col(c).alias(f"s_{c}") for c in strip],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    # One row per range; the running sum is over a short table.
+    sizes = sorted(tuple(r) for r in kept.groupBy("_range").count().collect())
+    starts = accumulate((n for _, n in sizes), initial=0)
+    ranges = df.sparkSession.createDataFrame(
+        [(r, start) for (r, _), start in zip(sizes, starts)], "_range int, _start long"
     )
-    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in strip]
-    position = F.col("_start") + F.col("_row")
-    pairs = F.sort_array(F.collect_list(F.struct("_order", "_value")))
-    return (
-        numbered.join(starts, same)
-        .groupBy(*keys, F.floor(position / piece_rows).alias("part"))
+    place = F.col("_start") + F.col("_row")
+    placed = kept.join(F.broadcast(ranges), "_range").withColumn("_place", place)
+    first = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in keys]
+    firsts = first.select(*[F.col(c).alias(f"f_{c}") for c in keys], "_first")
+    pairs = F.sort_array(F.collect_list(F.struct("_place", "_value")))
+    lists = (
+        placed.join(firsts, same)
+        .groupBy(*keys, F.floor((F.col("_place") - F.col("_first")) / piece_rows).alias("part"))
         .agg(pairs.alias("_pairs"))
         .select(*keys, "part", F.transform("_pairs", lambda x: x["_value"]).alias(name))
     )
+    return OrderedLists(lists, kept)

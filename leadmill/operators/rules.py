@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadmill.functions.text import strip
 from leadmill.functions.times import as_timestamp, days_before, days_since
 from leadmill.operators.analytics import count_rows, count_if, sum_rows
+from leadmill.operators.customer_state import customer_state, prefixed
 from leadmill.operators.filters import completed_only
 from leadmill.operators.keyed import lookup
-from leadmill.schemas import COMPLETED, COURIER_PLATFORM, MONEY
+from leadmill.schemas import COURIER_PLATFORM, MONEY
 
 AsOf = str | datetime
 
@@ -22,29 +23,26 @@ def refresh_customer_stats(
 
     Counts and revenue are over completed orders, the last order date is over all.
     """
-    done = F.col("order_status") == COMPLETED
-    stats = orders.groupBy("customer_id").agg(
-        count_if(done).alias("_orders"),
-        F.sum(F.when(done, F.col("net_revenue"))).cast(MONEY).alias("_revenue"),
-        F.max("order_date").alias("_last"),
+    stats = prefixed(customer_state(orders))
+    return refreshed(customers.join(stats, "customer_id", "left"), platform).select(
+        *customers.columns
     )
+
+
+def refreshed(with_state: DataFrame, platform: str = COURIER_PLATFORM) -> DataFrame:
+    """Customers of the platform with the statistics of the state beside them (`prefixed`)."""
     mine = F.col("last_platform") == platform
 
-    def refreshed(new: Column, old: str) -> Column:
-        return F.when(mine, new).otherwise(F.col(old))
+    def new(value: Column, old: str) -> Column:
+        return F.when(mine, value).otherwise(F.col(old))
 
-    return (
-        customers.join(stats, "customer_id", "left")
-        .withColumns(
-            {
-                "total_orders": refreshed(F.coalesce("_orders", F.lit(0)), "total_orders"),
-                "total_revenue": refreshed(
-                    F.coalesce("_revenue", F.lit(0)).cast(MONEY), "total_revenue"
-                ),
-                "last_order_date": refreshed(F.col("_last"), "last_order_date"),
-            }
-        )
-        .select(*customers.columns)
+    revenue = F.coalesce("s_completed_revenue", F.lit(0)).cast(MONEY)
+    return with_state.withColumns(
+        {
+            "total_orders": new(F.coalesce("s_completed_orders", F.lit(0)), "total_orders"),
+            "total_revenue": new(revenue, "total_revenue"),
+            "last_order_date": new(F.col("s_last_order_date"), "last_order_date"),
+        }
     )
 
 
@@ -81,6 +79,18 @@ def buyer_last_orders(
     )
 
 
+def buyers_by_state(with_state: DataFrame, since: Column | None = None) -> DataFrame:
+    """buyer_last_orders from customers with their state beside them (`prefixed`)."""
+    bought = F.col("s_completed_orders") > 0
+    if since is not None:
+        bought = F.col("s_last_completed_date") >= since
+    return (
+        with_state.filter(F.col("phone_raw").isNotNull() & bought)
+        .groupBy("phone_raw")
+        .agg(F.max("s_last_completed_date").alias("last_bought"), F.lit(True).alias("is_buyer"))
+    )
+
+
 def blacklisted() -> Column:
     return strip(F.coalesce("pipeline_status", F.lit(""))) == "Blacklist"
 
@@ -142,9 +152,14 @@ def assign_tracks(
 
     The courier import also marks every recent buyer as converted.
     """
-    rule, days = POLICIES[policy]
+    days = POLICIES[policy][1]
     since = None if days is None else days_before(as_of, days)
-    buyers = buyer_last_orders(orders, customers, since)
+    return tracks_of(leads, buyer_last_orders(orders, customers, since), as_of, policy)
+
+
+def tracks_of(leads: DataFrame, buyers: DataFrame, as_of: AsOf, policy: str) -> DataFrame:
+    """assign_tracks for buyer phones (phone_raw, last_bought, is_buyer) that are known."""
+    rule, _ = POLICIES[policy]
     known = leads.withColumn("_phone", F.nullif("phone", F.lit("")))
     joined = lookup(known, buyers, "_phone", "phone_raw", spread="contact_id")
     converted = F.col("converted")

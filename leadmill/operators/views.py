@@ -8,10 +8,8 @@ from leadmill.functions.phones import normalize_phone
 from leadmill.operators.filters import filter_customers, filter_leads, filter_orders, parent_items
 from leadmill.operators.keyed import PIECE_ROWS, join_many, lookup, ordered_lists
 from leadmill.operators.paging import page_of, sort_columns
+from leadmill.sources.staging import stage
 
-# Strips of ordered_lists: ids of items, and microseconds of a month.
-ITEM_STRIP = 1024
-TIME_STRIP = 30 * 24 * 3600 * 1_000_000
 ORDER_KEY = ["order_id", "source_platform"]
 HISTORY_COLUMNS = [
     "order_id", "source_platform", "order_date", "order_status", "payment_method", "net_revenue",
@@ -60,10 +58,12 @@ def list_leads(
     """Leads with the customer columns; only the rows of the page are joined."""
     allowed = ["last_message_at", "created_at", "name", "pipeline_status"]
     order = sort_columns(sort, allowed, direction, ["contact_id"])
-    rows = page_of(filter_leads(leads, **filters), order, page, limit)
+    rows = stage(page_of(filter_leads(leads, **filters), order, page, limit), "page")
     # At most MAX_PAGE_ROWS ids, so broadcasting them is safe for any table size.
     wanted = F.broadcast(rows.select("customer_id").distinct())
-    return leads_enriched(rows, customers.join(wanted, "customer_id", "left_semi")).orderBy(*order)
+    return leads_enriched(rows, customers.join(wanted, "customer_id", "left_semi")).orderBy(
+        *[k.column for k in order]
+    )
 
 
 def leads_enriched(leads: DataFrame, customers: DataFrame) -> DataFrame:
@@ -86,10 +86,8 @@ def orders_with_product_list(
     an order without any has one row.
     """
     named = items.filter(F.col("product_name").isNotNull())
-    lists = ordered_lists(
-        named, ORDER_KEY, ["item_id"], ITEM_STRIP, ["product_name"], "names", piece_rows
-    )
-    return join_many(orders, lists, ORDER_KEY).select(
+    found = ordered_lists(named, ORDER_KEY, ["item_id"], ["product_name"], "names", piece_rows)
+    return join_many(orders, found.lists, ORDER_KEY, found.rows).select(
         *ORDER_KEY,
         "customer_id",
         "order_date",
@@ -140,10 +138,13 @@ def customer_360(
         customers = customers.filter(F.col("customer_id").isin(*customer_ids))
         orders = orders.filter(F.col("customer_id").isin(*customer_ids))
         lines = lines.join(orders.select(ORDER_KEY), ORDER_KEY, "left_semi")
-    item_lists = ordered_lists(
-        lines, ORDER_KEY, ["item_id"], ITEM_STRIP, ITEM_COLUMNS, "items", item_piece_rows
-    ).withColumnRenamed("part", "item_part")
-    history = join_many(orders.select("customer_id", *HISTORY_COLUMNS), item_lists, ORDER_KEY)
+    listed = ordered_lists(lines, ORDER_KEY, ["item_id"], ITEM_COLUMNS, "items", item_piece_rows)
+    history = join_many(
+        orders.select("customer_id", *HISTORY_COLUMNS),
+        listed.lists.withColumnRenamed("part", "item_part"),
+        ORDER_KEY,
+        listed.rows,
+    )
     # Ascending by this key is newest first with missing dates last.
     newest = -F.unix_micros(F.col("order_date").cast("timestamp"))
     history = history.withColumns(
@@ -153,16 +154,16 @@ def customer_360(
             "_newest": F.coalesce(newest, F.lit((1 << 63) - 1)),
         }
     )
-    order_lists = ordered_lists(
+    bought = ordered_lists(
         history,
         ["customer_id"],
         ["_newest", *ORDER_KEY, "item_part"],
-        TIME_STRIP,
         [*HISTORY_COLUMNS, "item_part", "items"],
         "orders",
         piece_rows,
     )
-    documents = join_many(with_order_count(customers, orders), order_lists, ["customer_id"])
+    counted = with_order_count(customers, orders)
+    documents = join_many(counted, bought.lists, ["customer_id"], bought.rows)
     return documents.withColumn("part", F.coalesce("part", F.lit(0)))
 
 
@@ -174,11 +175,11 @@ def phone_lookup_orders(
     One row per asked row, order and list piece, to be sorted by order_date; rows whose phone
     is not found have no order. Only orders and items of the customers found are listed.
     """
-    asked = match_customers_by_phone(phones, customers, row_id)
+    asked = stage(match_customers_by_phone(phones, customers, row_id), "asked")
     found = asked.filter("match_status = 'found'").select(
         F.col("normalized_phone").alias("customer_id")
     ).distinct()
-    theirs = orders.join(found, "customer_id", "left_semi")
+    theirs = stage(orders.join(found, "customer_id", "left_semi"), "theirs")
     listed = orders_with_product_list(
         theirs, items.join(theirs.select(ORDER_KEY), ORDER_KEY, "left_semi")
     )
@@ -194,6 +195,20 @@ def lead_detail(leads: DataFrame, customers: DataFrame, contact_ids: Sequence[st
     return leads_enriched(leads.filter(F.col("contact_id").isin(*contact_ids)), customers)
 
 
+def lead_details(leads: DataFrame, customers: DataFrame, asked: DataFrame) -> DataFrame:
+    """The leads of a table of contact_ids, however many, with the customer columns.
+
+    One row per distinct id that is asked; `found` is false, and all else NULL, where there is no
+    such lead. Only the customers of these leads are joined.
+    """
+    ids = asked.filter(F.col("contact_id").isNotNull()).select("contact_id").distinct()
+    theirs = leads.join(ids, "contact_id", "left_semi").withColumn("found", F.lit(True))
+    detail = leads_enriched(theirs, customers)
+    return ids.join(detail, "contact_id", "left").withColumn(
+        "found", F.coalesce("found", F.lit(False))
+    )
+
+
 def match_customers_by_phone(raw: DataFrame, customers: DataFrame, row_id: str) -> DataFrame:
     """Raw phones (column `phone`) resolved to customers, whose id is their phone.
 

@@ -5,7 +5,6 @@ rows that become orders can create customers or convert leads. All outputs deriv
 that table and from one row per phone in it.
 """
 
-from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,19 +12,21 @@ from pyspark.sql import DataFrame, functions as F
 from leadmill.functions.numbers import payment_from_cod, whole_amount
 from leadmill.functions.phones import courier_phone
 from leadmill.functions.text import courier_name, courier_status, courier_text
-from leadmill.functions.times import courier_date
+from leadmill.functions.times import courier_date, days_before
 from leadmill.operators.analytics import count_rows, sum_rows
 from leadmill.operators.cleansing import explode_goods
-from leadmill.operators.keyed import first_by, lookup
-from leadmill.operators.rules import (
-    AsOf, assign_segments, assign_tracks, refresh_customer_stats,
+from leadmill.operators.customer_state import (
+    FACTS, customer_state, merge_states, merged_facts, order_facts, with_delta,
 )
+from leadmill.operators.keyed import first_by, lookup
+from leadmill.operators.rules import AsOf, assign_segments, buyers_by_state, refreshed, tracks_of
 from leadmill.schemas import (
-    COMPLETED, COURIER_HEADINGS, COURIER_PLATFORM, CUSTOMERS, MONEY, ORDER_ITEMS, ORDERS,
+    COURIER_HEADINGS, COURIER_PLATFORM, CUSTOMER_STATE, CUSTOMERS, MONEY, ORDER_ITEMS, ORDERS,
 )
 from leadmill.sources.files import (
     append_table, conform, layout, reload_table, remove_folder,
 )
+from leadmill.sources.staging import new_folder
 
 
 def usable_rows(raw: DataFrame) -> DataFrame:
@@ -81,7 +82,8 @@ def customers_by_phone(customers: DataFrame) -> DataFrame:
 
 
 def phone_book(fresh: DataFrame, customers: DataFrame) -> DataFrame:
-    """One row per phone of the fresh rows: its customer, stored or new.
+    """One row per phone of the fresh rows: its customer, stored or new, and what these orders
+    add to the customer's state.
 
     A new customer is described by the phone's first row. A stored one keeps its name
     even where that is NULL.
@@ -92,22 +94,28 @@ def phone_book(fresh: DataFrame, customers: DataFrame) -> DataFrame:
         .groupBy("phone")
         .agg(
             first_by(described, "row_no").alias("first"),
-            F.max(F.col("order_status") == COMPLETED).alias("has_completed"),
+            *[c.alias(name) for name, c in order_facts().items()],
         )
     )
+    # Phones are not NULL here, so the grouping's partitions serve the join.
+    stored = customers_by_phone(customers).withColumnRenamed("phone_raw", "stored_phone")
     is_new = F.col("stored").isNull()
-    return lookup(
-        phones, customers_by_phone(customers), "phone", "phone_raw", spread="phone"
-    ).select(
+    return phones.join(stored, F.col("phone") == F.col("stored_phone"), "left").select(
         "phone",
         is_new.alias("is_new"),
         F.when(is_new, F.col("phone")).otherwise(F.col("stored.customer_id")).alias("customer_id"),
         F.when(is_new, F.col("first.name")).otherwise(F.col("stored.name")).alias("customer_name"),
         "first",
-        "has_completed",
+        *FACTS,
     )
 
 
+def state_delta(book: DataFrame) -> DataFrame:
+    """What the import adds to the customers' state; an id may be that of two phones."""
+    rows = book.filter(F.col("customer_id").isNotNull()).groupBy("customer_id")
+    return rows.agg(*[c.alias(name) for name, c in merged_facts().items()])
+
+
 def new_orders(fresh: DataFrame, book: DataFrame) -> DataFrame:
     names = book.select(F.col("phone").alias("book_phone"), "customer_id", "customer_name")
     matched = lookup(fresh, names, "phone", "book_phone", spread="order_id")
@@ -155,7 +163,7 @@ def new_customers(book: DataFrame, customers: DataFrame) -> DataFrame:
 
 def converted_leads(leads: DataFrame, book: DataFrame) -> DataFrame:
     """Open leads whose phone has a completed fresh order, with `newly_converted`."""
-    buyers = book.filter("has_completed").select(
+    buyers = book.filter("completed_orders > 0").select(
         F.col("phone").alias("book_phone"),
         F.col("customer_id").alias("book_customer"),
         F.lit(True).alias("bought"),
@@ -193,6 +201,10 @@ class CourierImport:
     `stage_dir` when several results are used: the two tables that all results derive
     from are then written there once (a new subfolder each) and read back, instead of
     being computed for each result.
+
+    `state` is the stored customer state (`customer_state`) of the old orders. With it, customers
+    and leads are brought up to date from the state and the new orders alone; of the old orders
+    only ids are read, to know which are stored. Without it, it is computed from them.
     """
 
     def __init__(
@@ -203,6 +215,7 @@ class CourierImport:
         leads: DataFrame,
         as_of: AsOf,
         stage_dir: str | None = None,
+        state: DataFrame | None = None,
     ):
         self.raw = raw
         self.old_customers = customers
@@ -210,6 +223,7 @@ class CourierImport:
         self.old_leads = leads
         self.as_of = as_of
         self.stage_dir = stage_dir
+        self.old_state = customer_state(orders) if state is None else conform(state, CUSTOMER_STATE)
         self._stages: list[str] = []
 
     @cached_property
@@ -238,14 +252,19 @@ class CourierImport:
 
     @cached_property
     def _customers(self) -> DataFrame:
-        """With the new ones, before the refresh of statistics and segments."""
-        return self.old_customers.unionByName(self.new_customers, allowMissingColumns=True)
+        """With the new ones, before the refresh of statistics and segments; state beside them."""
+        known = self.old_customers.unionByName(self.new_customers, allowMissingColumns=True)
+        return with_delta(known, self.old_state, state_delta(self.book))
+
+    @cached_property
+    def state(self) -> DataFrame:
+        """The customers' state after the import."""
+        return merge_states(self.old_state, conform(state_delta(self.book), CUSTOMER_STATE))
 
     @cached_property
     def customers(self) -> DataFrame:
-        return assign_segments(
-            refresh_customer_stats(self._customers, self.orders), self.as_of
-        )
+        after = assign_segments(refreshed(self._customers), self.as_of)
+        return after.drop(*[f"s_{c}" for c in FACTS])
 
     @cached_property
     def _converted(self) -> DataFrame:
@@ -253,21 +272,17 @@ class CourierImport:
 
     @cached_property
     def leads(self) -> DataFrame:
-        return assign_tracks(
-            self._converted.drop("newly_converted"),
-            self.orders,
-            self._customers,
-            self.as_of,
-            "courier_import",
-        )
+        buyers = buyers_by_state(self._customers, days_before(self.as_of, 90))
+        leads = self._converted.drop("newly_converted")
+        return tracks_of(leads, buyers, self.as_of, "courier_import")
 
     @cached_property
     def report(self) -> DataFrame:
         return courier_report(self.raw, self.fresh, self._converted)
 
     def save(self, tables_dir: str, new_dir: str) -> None:
-        """Write customers and leads after the import to `new_dir`, then append the new items
-        and orders to `tables_dir`, in the layout of the tables there.
+        """Write customers, leads and the customers' state after the import to `new_dir`, then
+        append the new items and orders to `tables_dir`, in the layout of the tables there.
 
         Orders come last: until they are stored, a retry with the same export finds them new
         again, replaces what is in `new_dir`, and skips items that are stored already. Needs
@@ -280,6 +295,7 @@ class CourierImport:
         added_orders, added_items = self.new_orders, self.new_items
         reload_table(self.customers, f"{new_dir}/customers")
         reload_table(self.leads.drop("previous_track"), f"{new_dir}/leads")
+        reload_table(self.state, f"{new_dir}/customer_state")
         if layout(spark, items_dir) is not None:
             key = ["order_id", "source_platform"]
             stored = spark.read.schema(ORDER_ITEMS).parquet(items_dir).select(key).distinct()
@@ -293,7 +309,7 @@ class CourierImport:
     def _staged(self, df: DataFrame, name: str) -> DataFrame:
         if self.stage_dir is None:
             return df
-        path = f"{self.stage_dir}/{name}-{datetime.now():%Y%m%d%H%M%S%f}"
+        path = new_folder(df.sparkSession, name, self.stage_dir)
         df.write.parquet(path)
         self._stages.append(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)

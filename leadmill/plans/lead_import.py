@@ -11,6 +11,7 @@ from leadmill.operators.rules import AsOf
 from leadmill.plans.courier_import import customers_by_phone
 from leadmill.schemas import LEAD_HEADINGS, LEAD_TEXT_LIMITS, LEADS
 from leadmill.sources.files import conform
+from leadmill.sources.staging import stage
 
 TIMES = ["created_at", "last_message_at"]
 # Everything but the key, the time of creation and what the import itself derives.
@@ -73,29 +74,28 @@ def contacts(export: DataFrame, customers: DataFrame) -> DataFrame:
 def upsert_leads(
     export: DataFrame, leads: DataFrame, customers: DataFrame, as_of: AsOf
 ) -> DataFrame:
-    """All leads after the import; `export` has an orderable `row_no`.
+    """All leads after the import; `export` has an orderable `row_no`."""
+    return merged_leads(leads, stage(contacts(export, customers), "contacts"), as_of)
+
+
+def merged_leads(leads: DataFrame, incoming: DataFrame, as_of: AsOf) -> DataFrame:
+    """Leads after `contacts` were upserted.
 
     A stored lead keeps its creation time and track. Only a row that met a lead, stored
-    or from an earlier row of the file, sets updated_at.
+    or from an earlier row of the file, sets updated_at. Stored leads without a contact id match
+    nothing and are spread over all tasks; new contacts come from an anti join, so that nothing
+    needs a full outer join.
     """
-    stored = conform(leads, LEADS)
-    incoming = contacts(export, customers)
-    new = {c: F.col(f"new.{c}") for c in incoming.columns}
-    is_stored = F.col("old.contact_id").isNotNull()
-    in_file = new["contact_id"].isNotNull()
-    columns = {c: F.col(f"old.{c}") for c in LEADS.names}
-    columns.update(
-        {c: F.when(in_file, new[c]).otherwise(F.col(f"old.{c}")) for c in OVERWRITTEN}
-    )
-    columns["contact_id"] = F.coalesce("old.contact_id", "new.contact_id")
-    columns["created_at"] = F.when(is_stored, F.col("old.created_at")).otherwise(new["created_at"])
-    columns["updated_at"] = F.when(
-        in_file & (is_stored | (new["copies"] > 1)), as_timestamp(as_of)
-    ).otherwise(F.col("old.updated_at"))
-    joined = stored.alias("old").join(
-        incoming.alias("new"), F.col("old.contact_id") == F.col("new.contact_id"), "full"
-    )
-    return joined.select(*[columns[c].alias(c) for c in LEADS.names])
+    stored = conform(leads, LEADS).withColumn("_spread", F.xxhash64(*LEADS.names))
+    new = incoming.select(*[F.col(c).alias(f"n_{c}") for c in incoming.columns])
+    in_file = F.col("n_copies").isNotNull()
+    changes = {c: F.when(in_file, F.col(f"n_{c}")).otherwise(F.col(c)) for c in OVERWRITTEN}
+    changes["updated_at"] = F.when(in_file, as_timestamp(as_of)).otherwise(F.col("updated_at"))
+    kept = lookup(stored, new, "contact_id", "n_contact_id", spread="_spread").withColumns(changes)
+    known = leads.filter(F.col("contact_id").isNotNull()).select("contact_id")
+    repeated = F.when(F.col("copies") > 1, as_timestamp(as_of))
+    added = incoming.join(known, "contact_id", "left_anti").withColumn("updated_at", repeated)
+    return kept.select(*LEADS.names).unionByName(conform(added, LEADS))
 
 
 def lead_import_report(export: DataFrame, leads: DataFrame) -> DataFrame:

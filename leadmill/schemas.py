@@ -69,6 +69,12 @@ LEADS = table(
     "last_message_at timestamp, updated_at timestamp, track string"
 )
 
+# What orders add up to per customer, so that they need not be read again.
+CUSTOMER_STATE = table(
+    "customer_id string, completed_orders bigint, completed_revenue money, "
+    "last_order_date timestamp, last_completed_date timestamp"
+)
+
 TABLES = {
     "products": PRODUCTS,
     "customers": CUSTOMERS,

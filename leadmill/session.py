@@ -21,13 +21,12 @@ def builder(app_name: str = "leadmill") -> SparkSession.Builder:
     return b
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; local sessions may lack one."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; local sessions without one get their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    spark.sparkContext.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="leadmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

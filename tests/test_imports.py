@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from leadmill.operators.customer_state import customer_state, merge_states
 from leadmill.plans import courier_import, lead_import, lead_patches
 from leadmill.schemas import COURIER_HEADINGS, CUSTOMERS, LEAD_HEADINGS, LEADS, ORDER_ITEMS, ORDERS
 from leadmill.sources.files import append_table, load_table
@@ -131,6 +132,33 @@ def test_report(imported):
     assert row == {"inserted": 5, "skipped_duplicate": 2, "leads_synced": 2}
 
 
+def test_import_on_a_stored_state(raw, stored, imported):
+    customers, orders, leads = stored
+    on_state = courier_import.CourierImport(
+        raw, customers, orders, leads, NOW, state=customer_state(orders)
+    )
+    assert by(on_state.customers, "customer_id") == by(imported.customers, "customer_id")
+    assert by(on_state.leads, "contact_id") == by(imported.leads, "contact_id")
+    # The merged state is the state of all orders.
+    recounted = customer_state(imported.orders.select(orders.columns))
+    assert by(on_state.state, "customer_id") == by(recounted, "customer_id")
+
+
+def test_states_add_up(spark, stored):
+    _, orders, _ = stored
+    rows = table(spark, ORDERS, [
+        {"order_id": f"S{i}", "customer_id": [None, "C1", "C9"][i % 3],
+         "order_status": ["completed", "rts"][i % 2], "net_revenue": Decimal(i),
+         "order_date": None if i % 5 == 0 else datetime(2024, 1, 1 + i)}
+        for i in range(20)
+    ])
+    whole = by(customer_state(orders.unionByName(rows)), "customer_id")
+    parts = [customer_state(x) for x in (orders, rows.limit(0), rows.filter("order_id < 'S15'"),
+                                         rows.filter("order_id >= 'S15'"))]
+    assert by(merge_states(*parts), "customer_id") == whole
+    assert None not in whole and whole["C9"]["completed_orders"] == 3
+
+
 def test_second_import_inserts_nothing(spark, raw, stored, tmp_path):
     customers, orders, leads = stored
     tables, new, stage = (str(tmp_path / d) for d in ("tables", "new", "stage"))

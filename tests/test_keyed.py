@@ -119,14 +119,57 @@ def test_pieces_do_not_depend_on_partitions(skewed, spark):
     assert sorted(parts) == list(range(len(parts))) and len(parts) > 10
 
 
-@pytest.mark.parametrize("page", [1, 4, 15, 16])
-def test_deep_pages_equal_top_pages(skewed, monkeypatch, page):
+@pytest.mark.parametrize("page", [1, 2, 4, 15, 16, 40])
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_pages_by_histograms_equal_sorted_rows(skewed, monkeypatch, page, direction):
     _, orders, _ = skewed
-    rows = orders.select("order_id", "source_platform", "order_date")
-    order = paging.sort_columns("order_date", ["order_date"], "desc", views.ORDER_KEY)
-    top = paging.page_of(rows, order, page, 100).collect()
-    monkeypatch.setattr(paging, "MAX_TOP_ROWS", 0)
-    assert paging.page_of(rows, order, page, 100).collect() == top
+    rows = orders.select("order_id", "source_platform", "order_date", "customer_name", "net_revenue")
+    for sort in ("order_date", "customer_name", "net_revenue"):
+        order = paging.sort_columns(sort, [sort], direction, views.ORDER_KEY)
+        whole = rows.orderBy(*[k.column for k in order]).collect()
+        for skip in (0, 3, 1000):
+            monkeypatch.setattr(paging, "SKIP_ROWS", skip)
+            got = paging.page_of(rows, order, page, 100).collect()
+            assert got == whole[100 * page - 100 : 100 * page]
+
+
+def test_pages_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(paging, "SKIP_ROWS", 2)
+    rows = spark.createDataFrame([(None, "a")] * 40 + [("x", "a")] * 40 + [("y", "b")], "s string, k string")
+    order = paging.sort_columns("s", ["s"], "desc", ["k"])
+    whole = sorted(rows.collect(), key=lambda r: (r.s is None, r.s != "y"))
+    for page in range(1, 10):
+        assert paging.page_of(rows, order, page, 10).collect() == whole[10 * page - 10 : 10 * page]
+
+
+def test_a_narrowed_cell_is_small(skewed, monkeypatch):
+    _, orders, _ = skewed
+    monkeypatch.setattr(paging, "SKIP_ROWS", 20)
+    order = paging.sort_columns("order_date", ["order_date"], "asc", views.ORDER_KEY)
+    cell, skip = paging._cell(orders, order, 700, 10)
+    assert skip <= 20 and 10 <= cell.count() < orders.count() / 4
+
+
+@pytest.mark.parametrize("kind", ["null", "equal", "same row"])
+def test_a_hot_list_is_spread_over_tasks(spark, kind):
+    value = {"null": "CAST(NULL AS BIGINT)", "equal": "7", "same row": "7"}[kind]
+    name = "'same'" if kind == "same row" else "concat('n', id)"
+    rows = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN concat('k', id) ELSE 'hot' END AS k", f"{value} AS o", f"{name} AS v"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = keyed.ordered_lists(rows, ["k"], ["o"], ["v"], "vs", 1000)
+        per_task = found.rows.groupBy("_range").count().collect()
+        assert len(per_task) == 8 and max(r["count"] for r in per_task) < 20_000 / 4
+        parts = found.lists.filter("k = 'hot'").orderBy("part").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["part"] for r in parts] == list(range(14))
+    assert [len(r["vs"]) for r in parts] == [1000] * 13 + [333]
+    assert sorted(x["v"] for r in parts for x in r["vs"]) == sorted(
+        r["v"] for r in rows.filter("k = 'hot'").collect()
+    )
 
 
 def test_page_limits(skewed):

@@ -150,6 +150,17 @@ oracle("list_customers_backslash", f"""{CUSTOMER_PAGE}
 WHERE contains(lower(name), 'customer\\#0000001')
 ORDER BY last_order_date DESC NULLS LAST, customer_id LIMIT 500""")
 
+oracle("customers_with_backslash", f"""
+SELECT customer_id, replace(name, '#', '\\#') AS name, province FROM m_customers
+WHERE contains(name, '#0000001') AND province ILIKE '%a%'""")
+oracle("list_orders_page_near_end", f"""
+SELECT order_id, source_platform, order_date, customer_name, order_status, payment_method,
+       {double('net_revenue')} AS net_revenue, {double('shipping_cost')} AS shipping_cost,
+       shipping_provider, total_qty
+FROM (SELECT *, row_number() OVER (ORDER BY order_date DESC NULLS LAST, order_id, source_platform) AS n,
+             greatest(1, ceil(count(*) OVER () / 100.0) * 9 // 10) AS page
+      FROM m_orders) AS o
+WHERE n > (page - 1) * 100 AND n <= page * 100""")
 oracle("list_orders_deep_page", f"""
 SELECT order_id, source_platform, order_date, customer_name, order_status, payment_method,
        {double('net_revenue')} AS net_revenue, {double('shipping_cost')} AS shipping_cost,
@@ -210,11 +221,12 @@ FROM m_orders AS o LEFT JOIN ({PIECES}) AS i
   ON o.order_id = i.order_id AND o.source_platform = i.source_platform""")
 
 oracle("lead_detail", f"""
-SELECT contact_id, l.name, phone, l.customer_id, c.segment, c.total_orders,
-       {double('c.total_revenue')} AS total_revenue,
+SELECT a.contact_id, l.contact_id IS NOT NULL AS found, l.name, phone, l.customer_id, c.segment,
+       c.total_orders, {double('c.total_revenue')} AS total_revenue,
        c.last_order_date AS customer_last_order_date
-FROM m_leads AS l LEFT JOIN m_customers AS c ON l.customer_id = c.customer_id
-WHERE contact_id = (SELECT min(contact_id) FROM m_leads)""")
+FROM (SELECT DISTINCT contact_id FROM m_lead_export) AS a
+LEFT JOIN m_leads AS l ON a.contact_id = l.contact_id
+LEFT JOIN m_customers AS c ON l.customer_id = c.customer_id""")
 
 oracle("leads_enriched", f"""
 SELECT contact_id, l.name, phone, l.customer_id, c.segment, c.total_orders,
@@ -693,3 +705,16 @@ SELECT (SELECT count(*) FROM c_fresh) AS inserted,
        (SELECT count(*) FROM c_rows WHERE order_id IS NOT NULL)
          - (SELECT count(*) FROM c_fresh) AS skipped_duplicate,
        (SELECT count(*) FROM c_leads WHERE newly) AS leads_synced""", COURIER)
+
+
+def state(orders: str) -> str:
+    done = "FILTER (WHERE order_status = 'completed')"
+    return f"""
+SELECT customer_id, count(*) {done} AS completed_orders,
+       {double(f'sum(net_revenue) {done}')} AS completed_revenue,
+       max(order_date) AS last_order_date, max(order_date) {done} AS last_completed_date
+FROM {orders} WHERE customer_id IS NOT NULL GROUP BY customer_id"""
+
+
+oracle("customer_state", state("m_orders"))
+oracle("courier_state_after", state("all_orders"), COURIER)

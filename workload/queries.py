@@ -10,9 +10,12 @@ from pyspark.sql.types import DecimalType
 
 from leadmill.functions import numbers, phones, text, times
 from leadmill.operators import analytics, cleansing, filters, paging, rules, views
+from leadmill.operators import customer_state as customer_states
 from leadmill.plans import courier_import, lead_import, lead_patches, master_load
+from leadmill.session import shared_folder
 from leadmill.sources import checks
 from leadmill.sources.files import select_available
+from leadmill.sources.staging import stage
 from workload.model import AS_OF, LEAD_IMPORT_AS_OF, Model
 
 QUERIES: dict[str, Callable[[Model], DataFrame]] = {}
@@ -123,11 +126,26 @@ def list_customers_backslash(m):
     return views.list_customers(m.customers, limit=500, search="customer\\#0000001")
 
 
+@query
+def customers_with_backslash(m):
+    # Names that hold a backslash, searched with one.
+    odd = m.customers.withColumn("name", F.expr(r"replace(name, '#', '\\#')"))
+    found = filters.filter_customers(odd, search="CUSTOMER\\#0000001", province="a")
+    return found.select("customer_id", "name", "province")
+
+
 @query
 def list_orders_deep_page(m):
     return views.list_orders(m.orders, page=13, limit=100)
 
 
+@query
+def list_orders_page_near_end(m):
+    """The page at nine tenths of all: beyond row 100,000 where there are so many."""
+    pages = paging.page_info(m.orders, limit=100).first()["pages"]
+    return views.list_orders(m.orders, page=max(1, pages * 9 // 10), limit=100)
+
+
 @query
 def list_customers_by_phone(m):
     return views.list_customers(m.customers, limit=100, search="0800-0000-01")
@@ -196,10 +214,10 @@ def phone_lookup_orders(m):
 
 @query
 def lead_detail(m):
-    ids = [r.contact_id for r in m.leads.select("contact_id").orderBy("contact_id").limit(1).collect()]
-    return views.lead_detail(m.leads, m.customers, ids).select(
-        "contact_id", "name", "phone", "customer_id", "segment", "total_orders", "total_revenue",
-        "customer_last_order_date",
+    # Contacts of the lead export: stored ones with and without customer, and new ones.
+    return views.lead_details(m.leads, m.customers, m.lead_export).select(
+        "contact_id", "found", "name", "phone", "customer_id", "segment", "total_orders",
+        "total_revenue", "customer_last_order_date",
     )
 
 
@@ -454,6 +472,15 @@ def courier(m: Model) -> courier_import.CourierImport:
     )
 
 
+def courier_on_state(m: Model) -> courier_import.CourierImport:
+    """The import as it runs in use: on a stored customer state, shared inputs written once."""
+    state = stage(customer_states.customer_state(m.orders), "customer-state")
+    return courier_import.CourierImport(
+        m.courier_export, m.customers, m.orders, m.leads, AS_OF,
+        shared_folder(state.sparkSession), state,
+    )
+
+
 @query
 def courier_new_orders(m):
     return courier(m).new_orders.select(
@@ -483,12 +510,22 @@ def courier_new_customers(m):
 
 @query
 def courier_customers_after(m):
-    return courier(m).customers.select(CUSTOMER_STATS)
+    return courier_on_state(m).customers.select(CUSTOMER_STATS)
+
+
+@query
+def customer_state(m):
+    return customer_states.customer_state(m.orders)
+
+
+@query
+def courier_state_after(m):
+    return courier_on_state(m).state
 
 
 @query
 def courier_leads_after(m):
-    return courier(m).leads.select("contact_id", "phone", "customer_id", "converted", "track")
+    return courier_on_state(m).leads.select("contact_id", "phone", "customer_id", "converted", "track")
 
 
 @query
