@@ -47,6 +47,8 @@ def codewords(n: int) -> np.ndarray:
     Up to five languages get the exhaustive code. More get, of 200 random codes of about
     10 log2(n) bits, the one whose nearest two codewords are furthest apart.
     """
+    if n == 0:
+        return np.zeros((0, 0), np.float32)
     if n <= 5:
         columns = [[1 - 2 * (c >> r & 1) for r in range(n)] for c in range(1, 1 << max(0, n - 1))]
         return np.array(columns, np.float32).reshape(-1, n).T

@@ -115,4 +115,7 @@ QUERIES = {
         op11_importance_resampling, op12_vector_codes, op13_token_files,
     )
 }
-ORACLES = {"op3_sharding": sharding.oracle(SHARD_BYTES)}
+ORACLES = {
+    "op3_sharding": sharding.oracle(SHARD_BYTES),
+    "op12_vector_codes": vector_codes.oracle(),
+}

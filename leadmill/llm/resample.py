@@ -42,50 +42,66 @@ class Features:
     buckets: int = 10_000
 
     def pattern(self):
-        """Group n is the run of n words from a word's start, or of fewer at the text's end."""
-        runs = rb"([^ ]++)"
+        """Groups are the runs from a word's start, the longest first; fewer words at the end."""
+        runs = rb"([^ ]+)"
         for _ in range(self.longest - 1):
-            runs = rb"(" + runs + rb"(?: [^ ]++)?+)"
+            runs = rb"(" + runs + rb"(?: [^ ]+)?)"
         return regex.compile(rb"(?<![^ ])" + runs + rb"(?![^ ])")
 
     def scan(self, pattern, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
         """Number of words and buckets of the features, block by block."""
         clean = _SPACES.sub(b" ", (text or "").encode().translate(_CLEAN)).strip(b" ")
         found = pattern.finditer(clean, overlapped=True)
-        groups = range(self.longest, 0, -1)  # the innermost group is the last
-        rows = [m.group(*groups) for m in islice(found, BLOCK)]
+        rows = [m.groups() for m in islice(found, BLOCK)]
         while rows:
-            coming = [m.group(*groups) for m in islice(found, BLOCK)]
-            if self.longest == 1:
-                rows = [(r,) for r in rows] if not isinstance(rows[0], tuple) else rows
+            coming = [m.groups() for m in islice(found, BLOCK)]
             # Runs that reach beyond the end aren't there; blocks before the last look on.
             total = []
-            for n, runs in enumerate(zip(*rows), 1):
+            for n, runs in zip(range(self.longest, 0, -1), zip(*rows)):
                 missing = max(0, n - 1 - len(coming))
                 total.extend(map(crc32, runs[: max(0, len(runs) - missing)]))
-            yield len(rows), np.array(total, np.int64) % self.buckets
+            yield len(rows), (np.array(total, np.int64) % self.buckets).astype(np.uint16)
             rows = coming
 
 
-def _texts(batch: pa.RecordBatch) -> list[str | None]:
-    return batch.column("text").to_pylist()
+def scanned(
+    docs: DataFrame, features: Features, id_col: str | None = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row of docs: id (null without an id_col), n_words and buckets, two bytes a feature."""
+    if features.buckets > 1 << 16:
+        raise ValueError("a bucket is two bytes")
+
+    def work(batches):
+        pattern = features.pattern()
+        for batch in batches:
+            words, buckets = [], []
+            for text in batch.column("text"):
+                blocks = list(features.scan(pattern, text.as_py()))
+                words.append(sum(n for n, _ in blocks))
+                buckets.append(b"".join(at.tobytes() for _, at in blocks))
+            columns = [batch.column("id"), pa.array(words, pa.int64()), pa.array(buckets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "buckets"])
 
+    key = F.col(id_col) if id_col else F.lit(None).cast("long")
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"id {kind}, n_words long, buckets binary")
 
-def counts(texts: DataFrame, features: Features, text_col: str = "text") -> np.ndarray:
-    """Occurrences per bucket over all texts: summed per task, then by Spark."""
+
+def counts(rows: DataFrame, features: Features) -> np.ndarray:
+    """Occurrences per bucket over all `scanned` rows: summed per task, then by Spark."""
 
     def work(batches):
-        pattern, n = features.pattern(), np.zeros(features.buckets, np.int64)
+        n = np.zeros(features.buckets, np.int64)
         for batch in batches:
-            for text in _texts(batch):
-                for _, at in features.scan(pattern, text):
-                    n += np.bincount(at, minlength=features.buckets)
+            for at in batch.column("buckets"):
+                n += np.bincount(np.frombuffer(at.as_buffer(), np.uint16), minlength=features.buckets)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
 
-    rows = texts.select(F.col(text_col).alias("text")).mapInArrow(work, "bucket long, n long")
+    found = rows.select("buckets").mapInArrow(work, "bucket long, n long")
     total = np.zeros(features.buckets, np.int64)
-    for r in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in found.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         total[r["bucket"]] = r["n"]
     return total
 
@@ -103,31 +119,23 @@ def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     )
 
 
-def weigh(
-    docs: DataFrame, gain: np.ndarray, features: Features, id_col="doc_id", text_col="text"
-) -> DataFrame:
-    """Per row of docs: its id, n_words, n_features and weight."""
+def weigh(rows: DataFrame, gain: np.ndarray) -> DataFrame:
+    """Per `scanned` row: its id, n_words, n_features and weight."""
 
     def work(batches):
-        pattern = features.pattern()
         for batch in batches:
-            rows = []
-            for text in _texts(batch):
-                words = count = weight = 0
-                for n, at in features.scan(pattern, text):
-                    words, count, weight = words + n, count + len(at), weight + int(gain[at].sum())
-                rows.append((words, count, weight))
-            columns = np.array(rows, np.int64).reshape(-1, 3).T
+            sums = []
+            for at in batch.column("buckets"):
+                at = np.frombuffer(at.as_buffer(), np.uint16)
+                sums.append((len(at), int(gain[at].sum())))
+            columns = np.array(sums, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *map(pa.array, columns)], ["id", "n_words", "n_features", "weight"]
+                [batch.column("id"), batch.column("n_words"), *map(pa.array, columns)],
+                ["id", "n_words", "n_features", "weight"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(work, f"id {kind}, n_words long, n_features long, weight long")
-        .withColumnRenamed("id", id_col)
-    )
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(work, f"id {kind}, n_words long, n_features long, weight long")
 
 
 def noise(id_col: str, seed: int) -> Column:
@@ -156,13 +164,12 @@ def resample(
     target or no documents give the same shares everywhere and thus gains of the smoothed raw
     counts alone. Columns of docs and target beyond id and text are not read.
     """
-    gain = gains(counts(docs, features, text_col), counts(target, features, text_col))
-    scored = stage(
-        weigh(docs, gain, features, id_col, text_col).withColumn(
-            "score", F.col("weight") + noise(id_col, seed)
-        ),
-        "weights",
-    ).df
+    # Texts are scanned once; their buckets, about as many bytes as the texts, are read twice.
+    found = stage(scanned(docs, features, id_col, text_col), "features")
+    gain = gains(counts(found.df, features), counts(scanned(target, features, None, text_col), features))
+    scored = weigh(found.df, gain).withColumnRenamed("id", id_col)
+    scored = stage(scored.withColumn("score", F.col("weight") + noise(id_col, seed)), "weights").df
+    found.drop()
     able = (F.col("n_words") >= min_words) & F.col("score").isNotNull()
     drawn = percent * scored.where(able).count() // 100
     order = [F.desc("score"), F.asc(id_col)]

@@ -8,7 +8,7 @@ prefix, not by moving documents, and several bits at a time.
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leadmill.llm.staging import stage
 
@@ -17,12 +17,16 @@ BITS = 60
 STEP = 8
 
 
+def _hash(id_col: str, text_col: str) -> Column:
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.col(text_col)), F.lit(""))
+    return F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
+
+
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, hash and bytes of each document; documents without an id are hashed by their text."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.col(text_col)), F.lit(""))
     return docs.select(
         F.col(id_col).alias("id"),
-        F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long").alias("h"),
+        _hash(id_col, text_col).alias("h"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"),
     )
 
@@ -93,11 +97,34 @@ def assign_shards(
         first, last = last + 1, min(BITS, last + STEP)
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, folder: str, id_col: str = "doc_id") -> None:
-    """Write docs as Parquet, a folder per shard of assign_shards()."""
-    name = F.concat_ws("-", "shard_depth", "shard_prefix").alias("shard")
-    placed = docs.join(shards.select(id_col, name).distinct(), id_col)
-    placed.repartition("shard").write.partitionBy("shard").parquet(folder)
+def write_shards(
+    docs: DataFrame, shards: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text"
+) -> None:
+    """Write docs as Parquet, a folder per shard of assign_shards(docs, ...).
+
+    A row's shard follows from its own hash, so rows without an id and repeated rows are all
+    written. Folders are named by a column `shard`, with as many underscores behind it as needed
+    to differ from the columns of docs. Rows of other tables than docs, whose hash is in no
+    shard, are not written.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    places = shards.select("shard_depth", "shard_prefix").distinct()
+    # At most BITS + 1 depths; each hash is in one bucket of one of them.
+    depths = sorted(r[0] for r in places.select("shard_depth").distinct().collect())
+    hashes = hashed(docs, id_col, text_col).select("h").distinct()
+    levels = hashes.select("h", F.explode(F.array(*map(F.lit, depths)).cast("array<int>")).alias("shard_depth"))
+    levels = levels.withColumn("shard_prefix", F.expr(f"shiftright(h, {BITS} - shard_depth)"))
+    found = levels.join(places, ["shard_depth", "shard_prefix"]).select(
+        "h", F.concat_ws("-", "shard_depth", "shard_prefix").alias("place")
+    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), _hash(id_col, text_col).alias("h"))
+    placed = rows.join(found, "h").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("place").alias(name)
+    )
+    placed.repartition(name).write.partitionBy(name).parquet(folder)
 
 
 def oracle(max_bytes: int) -> str:

@@ -437,3 +437,52 @@ def label_errors(coded: DataFrame, label_col: str = "label") -> DataFrame:
     """coded with label_error, the sum of errors over rows of equal labels; nulls are one group."""
     total = coded.groupBy(F.col(label_col).alias("_label")).agg(F.sum("error").alias("label_error"))
     return coded.join(total, F.col(label_col).eqNullSafe(F.col("_label"))).drop("_label")
+
+
+def oracle(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """DuckDB SQL for the codes of `embeddings` whose vectors have one length."""
+    width = f"(len(v) // {parts})"
+    sql = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS rn,
+         list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rn, p, v[{width} * p + 1 : {width} * (p + 1)] AS x
+  FROM kept, (SELECT unnest(range({parts})) AS p) AS numbers
+), book0 AS MATERIALIZED (SELECT p, rn AS k, x AS c FROM parts WHERE rn < {entries})"""]
+    for r in range(rounds + 1):
+        sql.append(f"""
+, near{r} AS MATERIALIZED (
+  SELECT rn, a.p AS p,
+         min(CAST(list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c)
+                  AS BIGINT) * 256 + k) AS m
+  FROM parts AS a JOIN book{r} AS b ON a.p = b.p GROUP BY rn, a.p
+)""")
+        if r < rounds:
+            sql.append(f"""
+, sums{r} AS (
+  SELECT a.p AS p, m % 256 AS k, i, floor(sum(x[i + 1]) / count(*)) AS value
+  FROM near{r} AS a JOIN parts AS b ON a.rn = b.rn AND a.p = b.p, unnest(range(len(x))) AS t(i)
+  GROUP BY a.p, m % 256, i
+), book{r + 1} AS MATERIALIZED (
+  SELECT b.p AS p, b.k AS k, coalesce(new, c) AS c
+  FROM book{r} AS b
+  LEFT JOIN (SELECT p, k, list(value ORDER BY i) AS new FROM sums{r} GROUP BY p, k) AS s
+    ON b.p = s.p AND b.k = s.k
+)""")
+    sql.append(f"""
+, coded AS (
+  SELECT rn, string_agg(format('{{:02x}}', m % 256), '' ORDER BY p) AS code,
+         CAST(sum(m // 256) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY rn
+), digest AS (
+  SELECT sha256(string_agg(CAST(CAST(c[i + 1] AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, i)) AS sha
+  FROM book{rounds}, unnest(range(len(c))) AS t(i)
+)
+SELECT vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
+FROM kept JOIN coded ON kept.rn = coded.rn, digest""")
+    return "".join(sql)

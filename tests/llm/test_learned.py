@@ -40,7 +40,7 @@ def test_toxicity_of_held_out_documents(spark):
     assert np.mean([s >= 0.7 for s in good]) <= 0.05
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 12, 40])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 12, 40])
 def test_codewords_tell_languages_apart(n):
     code = langid.codewords(n)
     assert code.shape[0] == n and set(np.unique(code)) <= {-1.0, 1.0}

@@ -44,5 +44,9 @@ def test_edges(spark, tmp_path, monkeypatch):
         assert shard[0].shard_bytes <= 1000 or len({r.doc_id for r in shard}) == 1
     assert {r.shard_bytes for r in rows if r.doc_id == 50} == {9000}
     assert sharding.assign_shards(docs.limit(0), 1000).count() == 0
-    sharding.write_shards(docs.where("doc_id < 53"), found, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == 53
+    # Rows without an id and repeated rows are written too, whatever columns there are.
+    more = docs.selectExpr("*", "'x' AS shard", "1 AS place", "2 AS row")
+    sharding.write_shards(more, found, str(tmp_path / "shards"))
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, written.select(more.columns).collect())) == sorted(map(str, more.collect()))
+    assert {tuple(map(int, r[0].split("-"))) for r in written.select("shard_").distinct().collect()} == set(by)
