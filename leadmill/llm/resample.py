@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadmill.llm.positions import in_order
 from leadmill.llm.staging import stage
 
-#: Matches that are counted at once, so that a long text's features are never all in memory.
+#: Matches that are counted at once, at least as many as words in the longest run.
 BLOCK = 50_000
 
 #: Each byte of a text after lower-casing A-Z; separators are spaces. Bytes beyond ASCII are

@@ -16,10 +16,11 @@ are removed.
 """
 
 import os
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, chain
 from uuid import uuid4
 from zlib import crc32
 
@@ -34,9 +35,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Bytes of text per shard, as planned from all texts' lengths.
 SHARD_BYTES = 64 << 20
 #: Pieces of text that one Python worker remembers, and the longest one.
-MAX_PIECES, LONG_PIECE = 400_000, 40
-#: Pieces of a text that are encoded at once.
-BLOCK = 8192
+MAX_PIECES, LONG_PIECE = 800_000, 40
+#: Pieces of texts that are encoded at once.
+GROUP = 200_000
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,18 @@ class Format:
     batch: int = 64
 
 
+def _halves(piece: str) -> tuple[str, str]:
+    """Two texts whose ids, joined, are those of the piece; they recur more often than it.
+
+    The splitter parts a run of letters from a punctuation mark behind it, and the normaliser
+    lowers all letters. A letter whose small form ends with a mark would join what follows.
+    """
+    core = piece.rstrip(",.;:!?")
+    if core != piece and core.isalpha() and core[-1].lower().isalpha():
+        return (core.lower() if core.isascii() else core), piece[len(core) :]
+    return (piece.lower() if piece.isascii() and piece.isalpha() else piece), ""
+
+
 class Encoder:
     """Ids of whole texts, from remembered pieces.
 
@@ -63,26 +76,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.long: list[str] = []
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(pieces, found)}
-
-    def encode(self, text: str | None) -> Iterator[bytes]:
-        pieces = (text or "").replace("\n", " ").split(" ")
-        for k in range(0, len(pieces), BLOCK):
-            block = pieces[k : k + BLOCK] if len(pieces) > BLOCK else pieces
-            new = set(block).difference(self.known)
-            if new:
-                long = self._learn([p for p in new if len(p) > LONG_PIECE])
-                if len(self.known) > MAX_PIECES:
-                    self.known = {"": b""}
-                    new = set(block) - {""}
-                self.known |= self._learn([p for p in new if len(p) <= LONG_PIECE])
-                known = self.known | long if long else self.known
-            else:
-                known = self.known
-            yield b"".join([known[p] for p in block])
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return {p: array(code, e.ids).tobytes() for p, e in zip(pieces, found)}
+
+    def _knowing(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of all these pieces, and maybe of others."""
+        new = pieces.difference(self.known)
+        if not new:
+            return self.known
+        if len(self.known) + len(new) > MAX_PIECES:
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        halves = {p: _halves(p) for p in new}
+        parts = set(chain.from_iterable(halves.values())).difference(self.known)
+        self.known |= self._learn(list(parts))
+        known = self.known
+        known |= {p: known[a] + known[b] for p, (a, b) in halves.items()}
+        self.long = [p for p in parts | new if len(p) > LONG_PIECE]
+        return known
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[list[bytes]]:
+        """Per text its ids, in parts. Texts go in groups, whose new pieces the library encodes
+        in one call; a long text goes in several such groups, so its pieces are never all held."""
+        group, size = [], 0
+        for text in texts:
+            pieces = (text or "").replace("\n", " ").split(" ")
+            if len(pieces) > GROUP:
+                yield from self._encoded(group)
+                group, size = [], 0
+                yield [
+                    part
+                    for k in range(0, len(pieces), GROUP)
+                    for (part,) in self._encoded([pieces[k : k + GROUP]])
+                ]
+                continue
+            group.append(pieces)
+            size += len(pieces)
+            if size >= GROUP:
+                yield from self._encoded(group)
+                group, size = [], 0
+        yield from self._encoded(group)
+
+    def _encoded(self, group: list[list[str]]) -> Iterator[list[bytes]]:
+        known = self._knowing(set(chain.from_iterable(group)))
+        for pieces in group:
+            yield [b"".join([known[p] for p in pieces])]
+        for p in self.long:
+            del known[p]
+        self.long = []
 
 
 @cache
@@ -244,13 +288,10 @@ def write(
                 schema = pa.schema(fields)
                 index = pa.ipc.new_file(sinks[1], schema)
             lengths = []
-            for text in batch.column("text"):
-                n = 0
-                for data in codec.encode(text.as_py()):
+            for parts in codec.encode(text.as_py() for text in batch.column("text")):
+                for data in [*parts, end]:
                     writer.add(data)
-                    n += len(data)
-                writer.add(end)
-                lengths.append(n // codec.kind.itemsize + 1)
+                lengths.append(sum(map(len, parts)) // codec.kind.itemsize + 1)
             starts = np.cumsum([start, *lengths])
             start, count = int(starts[-1]), count + len(lengths)
             index.write_batch(

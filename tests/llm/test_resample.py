@@ -63,7 +63,7 @@ def test_query(spark, sf_dir):
     assert found(rows) == by_hand(docs, target, 5, 20, resample.Features())
 
 
-@pytest.mark.parametrize("longest, block", [(1, 3), (2, 1), (3, 2), (3, 50_000), (4, 2)])
+@pytest.mark.parametrize("longest, block", [(1, 3), (2, 1), (3, 2), (3, 50_000), (4, 3)])
 def test_scan_equals_plain_runs(longest, block, monkeypatch):
     monkeypatch.setattr(resample, "BLOCK", block)
     f = resample.Features(longest, 1000)

@@ -43,21 +43,26 @@ def test_query(spark, sf_dir, tokenizer):
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\r\x1c\x85 ́éÉ'sİΣς<|>")), max_size=60))
 def test_pieces_give_the_ids_of_the_whole_text(text):
     codec = token_files.encoder(TOKENS.tokenizer)
-    got = np.frombuffer(b"".join(codec.encode(text)), codec.kind).tolist()
+    ((*got,),) = codec.encode([text])
+    got = np.frombuffer(b"".join(got), codec.kind).tolist()
     assert got == codec.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_special_strings_and_forgetting(monkeypatch):
-    monkeypatch.setattr(token_files, "MAX_PIECES", 3)
-    monkeypatch.setattr(token_files, "BLOCK", 4)
+@pytest.mark.parametrize("most, group", [(3, 4), (5, 1), (1000, 200_000)])
+def test_special_strings_and_forgetting(monkeypatch, most, group):
+    monkeypatch.setattr(token_files, "MAX_PIECES", most)
+    monkeypatch.setattr(token_files, "GROUP", group)
     codec = token_files.Encoder(TOKENS.tokenizer)
-    for text in ["a b c d e f g a b c", "x<|endoftext|> y", "q" * 500 + " a", "  a\n\nb  ", "é" * 50_000]:
-        got = np.frombuffer(b"".join(codec.encode(text)), codec.kind).tolist()
-        assert got == codec.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["a b c d e f g a b c", None, "x<|endoftext|> y", "q" * 500 + " a", "", "  a\n\nb  ", "é" * 50_000]
+    got = list(codec.encode(texts))
+    assert len(got) == len(texts)
+    for text, parts in zip(texts, got):
+        ids = np.frombuffer(b"".join(parts), codec.kind).tolist()
+        assert ids == codec.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_files(spark, tmp_path, tokenizer, monkeypatch):
-    monkeypatch.setattr(token_files, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 5_000)
     texts = [None, "", "# a # b", "word " * 4000, "é 漢字 emoji 🙂", "x" * 3000] + [f"text {i} " * (i % 9) for i in range(300)]
     docs = [(3 * i - 50, t) for i, t in enumerate(texts)]
     rows = [(*d, "x", 1) for d in docs] + [(None, "no id", "x", 1)]
