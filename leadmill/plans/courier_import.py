@@ -7,13 +7,13 @@ that table and from one row per phone in it.
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from leadmill.functions.numbers import payment_from_cod, whole_amount
 from leadmill.functions.phones import courier_phone
 from leadmill.functions.text import courier_name, courier_status, courier_text
 from leadmill.functions.times import courier_date, days_before
-from leadmill.operators.analytics import count_rows, sum_rows
+from leadmill.operators.analytics import count_if, count_rows, sum_rows
 from leadmill.operators.cleansing import explode_goods
 from leadmill.operators.customer_state import (
     FACTS, customer_state, merge_states, merged_facts, order_facts, with_delta,
@@ -63,13 +63,30 @@ def typed_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def fresh_rows(raw: DataFrame, orders: DataFrame) -> DataFrame:
-    """Typed first row of every order id that is not stored yet."""
+def classified_rows(raw: DataFrame, orders: DataFrame) -> DataFrame:
+    """First row of every order id, `copies` (its usable rows) and whether it is `stored`."""
     rows = usable_rows(raw)
     columns = [c for c in rows.columns if c != "order_id"]
-    firsts = rows.groupBy("order_id").agg(first_by(columns, "row_no").alias("first"))
-    known = orders.filter(F.col("source_platform") == COURIER_PLATFORM).select("order_id")
-    return typed_rows(firsts.join(known, "order_id", "left_anti").select("order_id", "first.*"))
+    firsts = rows.groupBy("order_id").agg(
+        first_by(columns, "row_no").alias("first"), count_rows().alias("copies")
+    )
+    known = (
+        orders.filter(F.col("source_platform") == COURIER_PLATFORM)
+        .groupBy(F.col("order_id").alias("known_id")).agg(F.lit(True).alias("stored"))
+    )
+    joined = firsts.join(known, F.col("order_id") == F.col("known_id"), "left").drop("known_id")
+    return joined.withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
+def row_counts() -> list[Column]:
+    """Of classified rows: orders that are new, and all usable rows."""
+    usable = F.coalesce(F.sum("copies"), F.lit(0))
+    return [count_if(~F.col("stored")).alias("inserted"), usable.alias("usable")]
+
+
+def fresh_rows(classified: DataFrame) -> DataFrame:
+    """Typed first row of every order id that is not stored yet."""
+    return typed_rows(classified.filter(~F.col("stored")).select("order_id", "first.*"))
 
 
 def customers_by_phone(customers: DataFrame) -> DataFrame:
@@ -181,19 +198,6 @@ def converted_leads(leads: DataFrame, book: DataFrame) -> DataFrame:
     )
 
 
-def courier_report(raw: DataFrame, fresh: DataFrame, converted: DataFrame) -> DataFrame:
-    """One row: orders inserted, usable rows skipped as duplicates, leads converted."""
-    zero = F.lit(0).cast("bigint")
-    inserted = fresh.agg(count_rows().alias("inserted"), (-count_rows()).alias("skipped_duplicate"),
-                         zero.alias("leads_synced"))
-    usable = usable_rows(raw).agg(zero.alias("inserted"), count_rows().alias("skipped_duplicate"),
-                                  zero.alias("leads_synced"))
-    synced = converted.filter("newly_converted").agg(
-        zero.alias("inserted"), zero.alias("skipped_duplicate"), count_rows().alias("leads_synced")
-    )
-    return sum_rows(inserted, usable, synced)
-
-
 class CourierImport:
     """New rows of the import, whole tables after it, and its report; all lazy.
 
@@ -226,9 +230,18 @@ class CourierImport:
         self.old_state = customer_state(orders) if state is None else conform(state, CUSTOMER_STATE)
         self._stages: list[str] = []
 
+    @cached_property
+    def _classified(self) -> DataFrame:
+        rows = classified_rows(self.raw, self.old_orders)
+        if self.stage_dir is None:
+            return rows
+        # Counted while the fresh rows are written, so that the export is read once.
+        self._observed = Observation("courier rows")
+        return rows.observe(self._observed, *row_counts())
+
     @cached_property
     def fresh(self) -> DataFrame:
-        return self._staged(fresh_rows(self.raw, self.old_orders), "fresh")
+        return self._staged(fresh_rows(self._classified), "fresh")
 
     @cached_property
     def book(self) -> DataFrame:
@@ -278,7 +291,22 @@ class CourierImport:
 
     @cached_property
     def report(self) -> DataFrame:
-        return courier_report(self.raw, self.fresh, self._converted)
+        """One row: orders inserted, usable rows skipped as duplicates, leads converted."""
+        synced = self._converted.agg(count_if(F.col("newly_converted")).alias("leads_synced"))
+        inserted, usable = F.col("inserted"), F.col("usable")
+        if self.stage_dir is not None:
+            _ = self.fresh  # the book has been made from it, so its rows are counted
+            new, rows = (self._observed.get[c] for c in ("inserted", "usable"))
+            return synced.select(
+                F.lit(new).cast("bigint").alias("inserted"),
+                F.lit(rows - new).cast("bigint").alias("skipped_duplicate"),
+                "leads_synced",
+            )
+        counted, zero = self._classified.agg(*row_counts()), F.lit(0).cast("bigint")
+        return sum_rows(
+            counted.select("inserted", (usable - inserted).alias("skipped_duplicate"), zero.alias("leads_synced")),
+            synced.select(zero.alias("inserted"), zero.alias("skipped_duplicate"), "leads_synced"),
+        )
 
     def save(self, tables_dir: str, new_dir: str) -> None:
         """Write customers, leads and the customers' state after the import to `new_dir`, then

@@ -13,7 +13,7 @@ from leadmill.operators.rules import (
     POLICIES, AsOf, buyers_by_state, track_distribution, tracks_of,
 )
 from leadmill.plans.courier_import import CourierImport
-from leadmill.plans.lead_import import contacts, lead_import_report, merged_leads
+from leadmill.plans.lead_import import contacts, contacts_report, merged_leads
 from leadmill.plans.lead_patches import apply_lead_patches, valid_patches
 from leadmill.schemas import CUSTOMER_STATE, CUSTOMERS, LEADS, ORDER_ITEMS, ORDERS, PRODUCTS
 from leadmill.sources.staging import new_folder, stage
@@ -70,7 +70,7 @@ def import_leads(
     incoming = stage(contacts(export, customers), "contacts")
     after = merged_leads(leads, incoming, as_of)
     tracked = stage(_tracked(after, customers, state, as_of, "lead_import"), "tracked")
-    report = stage(lead_import_report(export, leads), "report")
+    report = stage(contacts_report(incoming, leads), "report")
     store.commit(batch, replace={"leads": tracked.drop("previous_track")}, base=now)
     return report, track_distribution(tracked)
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from leadmill.functions.phones import lead_phone
 from leadmill.functions.text import lead_text, truncate_text
 from leadmill.functions.times import as_timestamp, utc_ts
-from leadmill.operators.analytics import count_rows, sum_rows
+from leadmill.operators.analytics import count_if, count_rows
 from leadmill.operators.keyed import first_by, last_by, lookup
 from leadmill.operators.rules import AsOf
 from leadmill.plans.courier_import import customers_by_phone
@@ -100,14 +100,15 @@ def merged_leads(leads: DataFrame, incoming: DataFrame, as_of: AsOf) -> DataFram
 
 def lead_import_report(export: DataFrame, leads: DataFrame) -> DataFrame:
     """One row: contacts inserted, rows that updated a lead, and both together."""
-    zero = F.lit(0).cast("bigint")
-    per_contact = usable_rows(export).groupBy("contact_id").agg(count_rows().alias("copies"))
-    rows = per_contact.agg(
-        zero.alias("inserted"), F.coalesce(F.sum("copies"), F.lit(0)).alias("total")
-    )
-    fresh = per_contact.join(leads.select("contact_id"), "contact_id", "left_anti").agg(
-        count_rows().alias("inserted"), zero.alias("total")
-    )
-    return sum_rows(rows, fresh).select(
-        "inserted", (F.col("total") - F.col("inserted")).alias("updated"), "total"
-    )
+    rows = usable_rows(export).groupBy("contact_id").agg(count_rows().alias("copies"))
+    return contacts_report(rows, leads)
+
+
+def contacts_report(incoming: DataFrame, leads: DataFrame) -> DataFrame:
+    """lead_import_report of `contacts`, so that the export need not be read again."""
+    known = leads.groupBy(F.col("contact_id").alias("known_id")).agg(F.lit(True).alias("stored"))
+    joined = incoming.join(known, F.col("contact_id") == F.col("known_id"), "left")
+    return joined.agg(
+        count_if(F.col("stored").isNull()).alias("inserted"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("total"),
+    ).select("inserted", (F.col("total") - F.col("inserted")).alias("updated"), "total")

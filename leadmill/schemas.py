@@ -5,13 +5,15 @@ depend on the session time zone. Money is ``decimal(18,2)``.
 """
 
 from pyspark.sql.types import (
-    DataType, DecimalType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+    DataType, DateType, DecimalType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
     TimestampNTZType,
 )
 
 MONEY = "decimal(18,2)"
 
 TYPES: dict[str, DataType] = {
+    "date": DateType(),
+    "total": DecimalType(28, 2),
     "string": StringType(),
     "int": IntegerType(),
     "bigint": LongType(),
@@ -75,6 +77,12 @@ CUSTOMER_STATE = table(
     "last_order_date timestamp, last_completed_date timestamp"
 )
 
+# Sums of completed orders per day.
+DAILY_SALES = table(
+    "day date, orders bigint, priced bigint, revenue total, revenue_new total, "
+    "revenue_repeat total, total_qty bigint"
+)
+
 TABLES = {
     "products": PRODUCTS,
     "customers": CUSTOMERS,

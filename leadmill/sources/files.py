@@ -1,5 +1,6 @@
 """CSV and Parquet sources and sinks."""
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -53,9 +54,12 @@ def read_raw_csv(
         )
 
     # Files with the same header are read together; only headers come to the driver.
-    headers: dict[tuple, list[str]] = {}
+    alike: dict[str, list[str]] = {}
     for file in _files(spark, path):
-        headers.setdefault(tuple(reader().csv(file).columns), []).append(file)
+        alike.setdefault(_header(spark, file), []).append(file)
+    headers: dict[tuple, list[str]] = {}
+    for files in alike.values():
+        headers.setdefault(tuple(reader().csv(files[0]).columns), []).extend(files)
     every = list(dict.fromkeys(c for header in headers for c in header))
     raw = None
     for header, files in headers.items():
@@ -73,21 +77,48 @@ def read_raw_csv(
 
 
 def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files of raw exports: a few, unlike those of a table."""
+    """The files of raw exports, also those in subfolders: a few, unlike those of a table.
+
+    Files and folders whose names begin with a dot or an underscore are none of an export.
+    """
     found = []
     for p in [path] if isinstance(path, str) else path:
         at = spark._jvm.org.apache.hadoop.fs.Path(p)
         fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        statuses = fs.globStatus(at)
-        if statuses is None or not len(statuses):
+        todo = [s.getPath() for s in fs.globStatus(at) or []]
+        files = []
+        while todo:
+            here = todo.pop()
+            if not fs.getFileStatus(here).isDirectory():
+                files.append(here.toString())
+                continue
+            inside = [s.getPath() for s in fs.listStatus(here)]
+            todo += [q for q in inside if q.getName()[0] not in "._"]
+        if not files:
             raise FileNotFoundError(p)
-        for status in statuses:
-            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-            names = [(s.getPath().getName(), s.getPath().toString()) for s in inside if s.isFile()]
-            found += [full for name, full in sorted(names) if name[0] not in "._"]
+        found += sorted(files)
     return found
 
 
+def _header(spark: SparkSession, file: str) -> str:
+    """The first line of a file, up to a line end outside quotes."""
+    conf = spark._jsc.hadoopConfiguration()
+    hadoop, java = spark._jvm.org.apache.hadoop, spark._jvm.java.io
+    at = hadoop.fs.Path(file)
+    stream = at.getFileSystem(conf).open(at)
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    lines = java.BufferedReader(java.InputStreamReader(stream, "UTF-8"))
+    text = ""
+    while (line := lines.readLine()) is not None:
+        text += line + "\n"
+        if text.strip() and text.count('"') % 2 == 0:
+            break
+    lines.close()
+    return text
+
+
 def load_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
@@ -142,12 +173,34 @@ def layout(spark: SparkSession, path: str) -> list[str] | None:
 
 
 def reload_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the whole table. The new rows must not be read from the table itself."""
+    """Replace the whole table. The new rows must not be read from the table itself.
+
+    They are written beside it first, and take its place when they are complete: a write that
+    fails leaves the old table. Between two renames there is no table for a moment; tables that
+    must change together, or be read meanwhile, belong into a store (`sources.store`).
+    """
     target = _plain(path)
     for root in _scanned(df):
         if (_plain(root) + "/").startswith(target + "/") or (target + "/").startswith(_plain(root) + "/"):
             raise ValueError(f"{path} is also an input; write to a new folder instead")
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    at = place(path.rstrip("/"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    new, old = (place(at.getParent(), f".{at.getName()}-{what}-{mark}") for what in ("new", "old"))
+    try:
+        df.write.partitionBy(*partition_by).parquet(new.toString())
+        had = fs.exists(at)
+        if had and not fs.rename(at, old):
+            raise OSError(f"{path} cannot be moved")
+        if not fs.rename(new, at):
+            if had:
+                fs.rename(old, at)
+            raise OSError(f"{path} cannot be replaced")
+        fs.delete(old, True)
+    finally:
+        fs.delete(new, True)
 
 
 def _plain(path: str) -> str:

@@ -127,9 +127,15 @@ def test_leads_after(imported):
     }
 
 
-def test_report(imported):
-    row = imported.report.first().asDict()
-    assert row == {"inserted": 5, "skipped_duplicate": 2, "leads_synced": 2}
+def test_report(imported, raw, stored, tmp_path):
+    want = {"inserted": 5, "skipped_duplicate": 2, "leads_synced": 2}
+    assert imported.report.first().asDict() == want
+    # Counted on the way, where the fresh rows are written once.
+    customers, orders, leads = stored
+    written = courier_import.CourierImport(raw, customers, orders, leads, NOW, str(tmp_path))
+    assert written.report.first().asDict() == want
+    nothing = courier_import.CourierImport(raw.limit(0), customers, orders, leads, NOW, str(tmp_path))
+    assert nothing.report.first().asDict() == dict.fromkeys(want, 0)
 
 
 def test_import_on_a_stored_state(raw, stored, imported):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadmill.operators import analytics, rules, views
 from leadmill.operators.customer_state import customer_state
-from leadmill.plans.courier_import import CourierImport, fresh_rows, phone_book
+from leadmill.plans.courier_import import CourierImport, classified_rows, fresh_rows, phone_book
 from leadmill.schemas import CUSTOMERS, LEADS, ORDER_ITEMS, ORDERS
 from leadmill.sources.files import conform, load_table, reload_table
 from leadmill.sources.staging import stage
@@ -151,11 +151,11 @@ def test_an_import_on_a_state_reads_only_ids_of_old_orders(stored, no_broadcast,
         load_table(spark, f"{tmp_path}/export"), stored["customers"], stored["orders"],
         stored["leads"], "2001-08-02", str(tmp_path), load_table(spark, f"{tmp_path}/state"),
     )
-    assert exchanges(plan(fresh_rows(done.raw, stored["orders"]))) <= 2
-    of_orders = [c for _, c in scans(fresh_rows(done.raw, stored["orders"])) if "source_platform:" in c]
+    fresh = fresh_rows(classified_rows(done.raw, stored["orders"]))
+    assert exchanges(plan(fresh)) <= 2 and plan(fresh).count("FileScan") == 2
+    of_orders = [c for _, c in scans(fresh) if "source_platform:" in c]
     assert of_orders == ["order_id:string,source_platform:string"]
     assert exchanges(plan(phone_book(done.fresh, stored["customers"]))) <= 2
-    for df in (done.customers, done.leads, done.state):
-        text = plan(df)
-        assert exchanges(text) <= 12
-        assert not [c for _, c in scans(df) if "order_status:" in c]
+    for df in (done.customers, done.leads, done.state, done.report):
+        assert exchanges(plan(df)) <= 12
+        assert not [c for _, c in scans(df) if "order_status:" in c or "Last Status" in c]

@@ -132,3 +132,46 @@ def test_master_load_from_csv(spark, tmp_path):
         "62812", None,
     ]
     assert {r["product_id"] for r in again["order_items"].collect()} == {"P1", "P9", None}
+
+
+def test_csv_folders_are_read_with_their_subfolders(spark, tmp_path):
+    root = tmp_path / "in"
+    for folder in ("2024/05", "2024/06", "_old", ".hidden"):
+        (root / folder).mkdir(parents=True)
+    write(root / "2024/05/a.csv", "a,b\n1,2\n")
+    write(root / "2024/06/b.csv", "b,a\n4,3\n")
+    write(root / "top.csv", 'a,"c\nd"\n5,6\n')
+    write(root / "_old/x.csv", "a\nold\n")
+    write(root / ".hidden/x.csv", "a\nhidden\n")
+    df = files.read_raw_csv(spark, str(root))
+    assert sorted(map(tuple, df.select("a", "b", "`c\nd`").collect())) == [
+        ("1", "2", None), ("3", "4", None), ("5", None, "6"),
+    ]
+    assert files.read_raw_csv(spark, str(root / "2024")).count() == 2
+    for nothing in ("_old/none", "*.txt"):
+        with pytest.raises(FileNotFoundError):
+            files.read_raw_csv(spark, str(root / nothing))
+    (root / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.read_raw_csv(spark, str(root / "empty"))
+
+
+def test_csv_compressed(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(b"a,b\n1,2\n"))
+    write(tmp_path / "b.csv", "b,a\n4,3\n")
+    got = files.read_raw_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("a", "b").collect())) == [("1", "2"), ("3", "4")]
+
+
+def test_a_failed_reload_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.reload_table(spark.range(5).toDF("v"), path)
+    bad = spark.range(5).select(F.raise_error(F.lit("no")).cast("long").alias("v"))
+    with pytest.raises(Exception, match="no"):
+        files.reload_table(bad, path)
+    assert files.load_table(spark, path).count() == 5
+    files.reload_table(spark.range(3).toDF("v"), path)
+    assert files.load_table(spark, path).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]

@@ -718,3 +718,25 @@ FROM {orders} WHERE customer_id IS NOT NULL GROUP BY customer_id"""
 
 oracle("customer_state", state("m_orders"))
 oracle("courier_state_after", state("all_orders"), COURIER)
+
+oracle("daily_sales", f"""
+SELECT CAST(order_date AS DATE) AS day, count(*) AS orders, count(net_revenue) AS priced,
+       {double('sum(net_revenue)')} AS revenue,
+       {double('sum(net_revenue) FILTER (WHERE CAST(order_date AS DATE) = CAST(first_order_date AS DATE))')}
+         AS revenue_new,
+       {double('sum(net_revenue) FILTER (WHERE CAST(order_date AS DATE) > CAST(first_order_date AS DATE))')}
+         AS revenue_repeat,
+       {big('sum(total_qty)')} AS total_qty
+FROM m_orders AS o LEFT JOIN m_customers AS c ON o.customer_id = c.customer_id
+WHERE order_status = 'completed' GROUP BY 1""")
+ORACLES["revenue_by_week_from_days"] = ORACLES["revenue_by_week"]
+ORACLES["monthly_new_vs_repeat_from_days"] = ORACLES["monthly_new_vs_repeat_all"]
+oracle("revenue_in_days", revenue(
+    "strftime(order_date, '%Y-%m')",
+    "AND order_date >= TIMESTAMP '1998-03-05' AND order_date < TIMESTAMP '1999-11-21'",
+))
+oracle("tracks_of_due_leads", """
+SELECT contact_id, converted, track FROM tracked""", track_ctes("full_sync", None))
+oracle("search_customers_by_trigrams", """
+SELECT customer_id, name, province FROM m_customers
+WHERE name ILIKE '%mer#0000001%7%' AND province ILIKE '%asi%'""")

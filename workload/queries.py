@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DecimalType
 
 from leadmill.functions import numbers, phones, text, times
-from leadmill.operators import analytics, cleansing, filters, paging, rules, views
+from leadmill.operators import (
+    analytics, cleansing, due, filters, paging, rollup, rules, search, views,
+)
 from leadmill.operators import customer_state as customer_states
 from leadmill.plans import courier_import, lead_import, lead_patches, master_load
 from leadmill.session import shared_folder
 from leadmill.sources import checks
 from leadmill.sources.files import select_available
-from leadmill.sources.staging import stage
+from leadmill.sources.staging import new_folder, stage
+from leadmill.sources.store import Buckets, TableStore
 from workload.model import AS_OF, LEAD_IMPORT_AS_OF, Model
 
+#: 40 days before AS_OF.
+EARLIER = "2001-06-23 00:00:00"
+
 QUERIES: dict[str, Callable[[Model], DataFrame]] = {}
 
 
@@ -100,6 +106,33 @@ def revenue_in_range(m):
     return analytics.revenue_by_period(m.orders, "other", "1998-03-05", "1999-11-20 12:00:00")
 
 
+def days_after_late_orders(m: Model) -> DataFrame:
+    """Sums per day of one channel's orders, into which the other's were merged later."""
+    late = F.col("source_platform") == "mengantar"
+    parts = [rollup.daily_sales(m.orders.filter(c), m.customers) for c in (~late, late)]
+    return rollup.merge_days(*parts)
+
+
+@query
+def daily_sales(m):
+    return days_after_late_orders(m)
+
+
+@query
+def revenue_by_week_from_days(m):
+    return rollup.revenue_from_days(days_after_late_orders(m), "week")
+
+
+@query
+def revenue_in_days(m):
+    return rollup.revenue_from_days(days_after_late_orders(m), "month", "1998-03-05", "1999-11-20")
+
+
+@query
+def monthly_new_vs_repeat_from_days(m):
+    return rollup.monthly_from_days(days_after_late_orders(m), AS_OF, months=120)
+
+
 @query
 def pipeline_stats(m):
     return analytics.pipeline_stats(m.leads)
@@ -174,6 +207,21 @@ def filter_customers(m):
     )
 
 
+@query
+def search_customers_by_trigrams(m):
+    """The names with a pattern, from the buckets of a stored table that can have it."""
+    how = Buckets("customer_id", 64)
+    columns = [f.name for f in m.customers.schema]
+    table = TableStore(m.customers.sparkSession, new_folder(m.customers.sparkSession, "customers"), {"customers": how})
+    table.commit("load", {"customers": m.customers})
+    stored = table.read("customers", m.customers.schema)
+    index = stage(search.trigram_index(stored, ["name", "province", "customer_id"], how.of(stored)), "grams")
+    wanted = {"search": "mer#0000001%7", "province": "asi"}
+    only = search.candidate_buckets(index, search.customer_patterns(stored, **wanted))
+    near = table.read("customers", m.customers.schema, only=only)
+    return filters.filter_customers(near.select(columns), **wanted).select("customer_id", "name", "province")
+
+
 @query
 def filter_leads_prospects(m):
     return filters.filter_leads(
@@ -416,6 +464,21 @@ def tracks_full_sync(m):
     return tracks(m, "full_sync").select(TRACKED)
 
 
+@query
+def tracks_of_due_leads(m):
+    """Tracked 40 days earlier; then only leads that are due, or whose buyer bought since."""
+    before = F.lit(EARLIER).cast("timestamp_ntz")
+    old = m.orders.filter(F.col("order_date") < before)
+    buyers = stage(rules.buyer_last_orders(old, m.customers), "buyers")
+    tracked = rules.tracks_of(m.leads, buyers, EARLIER, "full_sync").drop("previous_track")
+    leads = stage(tracked, "tracked")
+    index = stage(due.due_index(leads, buyers, EARLIER, "full_sync"), "due")
+    changed = rules.buyer_last_orders(m.orders.filter(F.col("order_date") >= before), m.customers)
+    now = rules.buyer_last_orders(m.orders, m.customers)
+    touched = due.retrack_due(leads, index, now, changed, AS_OF, "full_sync")
+    return due.with_new_tracks(leads, touched).select("contact_id", "converted", "track")
+
+
 @query
 def track_distribution(m):
     return rules.track_distribution(tracks(m, "full_sync"))
@@ -530,4 +593,4 @@ def courier_leads_after(m):
 
 @query
 def courier_report(m):
-    return courier(m).report
+    return courier_on_state(m).report
