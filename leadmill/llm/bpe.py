@@ -20,11 +20,13 @@ import codecs
 import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 #: States, checked borders and encoded fragments that one Python worker keeps.
 MAX_STATES = 200_000
 MAX_BORDERS = 500_000
-MAX_FRAGMENTS = 500_000
+MAX_FRAGMENTS = 1_000_000
 #: Tokens that are decoded at once.
 DECODE_BLOCK = 4096
 #: Longest fragment whose encoding is remembered.
@@ -67,9 +69,9 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.borders: dict[tuple[int, int], bool] = {}
-        # Trie of the tokens: (place * 256 + byte) -> place, and the token at a place. Places
-        # that no token goes on from are negative.
+        self.borders: dict[int, bool] = {}
+        # Trie of the tokens: (place << 8 | byte) -> place, and the token at a place. Places that
+        # no token goes on from are negative.
         self.child: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
         inner = {t[:n] for t in ranks for n in range(1, len(t))} | {b""}
@@ -78,15 +80,18 @@ class Transducer:
             place.setdefault(t, -1 - k)
         for t, p in place.items():
             if t:
-                self.child[place[t[:-1]] * 256 + t[-1]] = p
+                self.child[place[t[:-1]] << 8 | t[-1]] = p
                 if t in ranks:
                     self.token_at[p] = ranks[t]
+        # Whether merges can give a token, as far as that was asked.
+        self.made: dict[int, bool] = {}
+        self.states: dict[tuple, _State] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Start anew; states refer to each other, so the collector must look for them."""
-        self.states = {}
-        gc.collect()
+        """Start anew. States refer to each other; without that, they are freed at once."""
+        for state in self.states.values():
+            state.next.clear()
         self.start = _State((None,), [(0, 0)])
         self.states = {self.start.chain: self.start}
 
@@ -111,7 +116,7 @@ class Transducer:
         pair met at the border must not have merged before the merges that replaced it: at
         equal ranks, the pair further left merges first.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.borders.get(key)
         if known is not None:
             return known
@@ -141,18 +146,29 @@ class Transducer:
         chain, length = state.chain, self.length
         live = []
         token = None
+        child, token_at = self.child.get, self.token_at.get
+        made, borders = self.made.get, self.borders.get
         for start, place in state.live:
-            place = self.child.get(place * 256 + byte)
+            place = child(place << 8 | byte)
             if place is None:
                 continue
             if place >= 0:
                 live.append((start, place))
             if token is None:
-                t = self.token_at.get(place)
-                if t is not None and (length[t] == 1 or self.halves(t)):
+                t = token_at(place)
+                if t is not None:
+                    good = made(t)
+                    if good is None:
+                        good = self.made[t] = length[t] == 1 or self.halves(t) is not None
                     last = chain[start]
-                    if last is None or self.apart(last, t):
+                    if not good:
+                        continue
+                    if last is None:
                         token = t
+                    else:
+                        good = borders(last << 32 | t)
+                        if self.apart(last, t) if good is None else good:
+                            token = t
         if token is None:
             raise ValueError("the ranks lack a single byte or are no merge ranks")
         chain = chain + (token,)
@@ -205,18 +221,22 @@ class Transducer:
         return out
 
 
+#: Ids of a run of text: decimals, each with a comma behind it, and unsigned 32-bit integers.
+Ids = tuple[str, bytes]
+
+
 class _Recent:
     """A dictionary that forgets what was not asked for while half its size was added."""
 
     def __init__(self, size: int):
         self.half, self.young, self.old = max(1, size // 2), {}, {}
 
-    def put(self, key: str, value: str) -> None:
+    def put(self, key: str, value: "Ids") -> None:
         if len(self.young) >= self.half:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
-    def get(self, key: str) -> str | None:
+    def get(self, key: str) -> "Ids | None":
         found = self.young.get(key)
         if found is None:
             found = self.old.get(key)
@@ -231,35 +251,41 @@ class Codec:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         self.fst = Transducer(ranks)
         self.find = regex.compile(vocabulary.pattern).finditer
-        self.bytes_of = {str(r): t for r, t in self.fst.bytes_of.items()}
         self.fragments, self.pieces = _Recent(MAX_FRAGMENTS), _Recent(MAX_FRAGMENTS)
-
-    def _piece(self, piece: str) -> str:
-        """Ids of a match of the pattern as decimals, each with a comma after it."""
+        # The bytes of all tokens in one array, and where each token begins and how long it is.
+        tokens = [self.fst.bytes_of.get(r, b"") for r in range(max(self.fst.bytes_of) + 1)]
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def _piece(self, piece: str) -> Ids:
+        """Ids of a match of the pattern."""
         done = self.pieces.get(piece)
         if done is None:
-            done = "".join([f"{i}," for i in self.fst.encode(piece.encode())])
+            ids = self.fst.encode(piece.encode())
+            done = "".join([f"{i}," for i in ids]), array("I", ids).tobytes()
             if len(piece) <= LONG_FRAGMENT:
                 self.pieces.put(piece, done)
         return done
 
-    def _fragment(self, text: str) -> str:
+    def _fragment(self, text: str) -> Ids:
         """Ids of a fragment, which is one match or several."""
         if text[1:].isalpha() and text[0] == " ":
             return self._piece(text)
         known = self.fragments.get(text)
         if known is not None:
             return known
-        if text[-1] in ",." and text[1:-1].isalpha() and text[0] == " ":
-            done = self._piece(text[:-1]) + self._piece(text[-1])
+        if text[-1] in ",.;:!?" and text[1:-1].isalpha() and text[0] == " ":
+            parts = [self._piece(text[:-1]), self._piece(text[-1])]
         else:
-            done = "".join([self._piece(m.group()) for m in self.find(text)])
+            parts = [self._piece(m.group()) for m in self.find(text)]
+        done = "".join([d for d, _ in parts]), b"".join([i for _, i in parts])
         if len(text) <= LONG_FRAGMENT:
             self.fragments.put(text, done)
         return done
 
-    def encode(self, text: str) -> Iterator[str]:
-        """Ids of a text in blocks of decimals with commas.
+    def encode(self, text: str) -> Iterator[Ids]:
+        """Ids of a text in blocks.
 
         A match of the pattern takes a space only as its first byte, unless white space stands
         beside the space. So texts without such spaces split at their spaces into fragments
@@ -277,22 +303,32 @@ class Codec:
         block = []
         fast, fast_piece = self.fragments.young, self.pieces.young
         for f in fragments:
-            block.append(fast.get(f) or fast_piece.get(f) or make(f))
+            block.append(fast_piece.get(f) or fast.get(f) or make(f))
             if len(block) == DECODE_BLOCK:
-                yield "".join(block)
+                yield _join(block)
                 block = []
                 fast, fast_piece = self.fragments.young, self.pieces.young
         if block:
-            yield "".join(block)
+            yield _join(block)
 
-    def decode(self, blocks: Iterable[list[str]]) -> Iterator[str]:
-        """Text of decimal ids, block by block; bytes that are no UTF-8 become U+FFFD."""
+    def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
+        """Text of 32-bit ids, block by block; bytes that are no UTF-8 become U+FFFD."""
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        for ids in blocks:
-            yield decoder.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+        for block in blocks:
+            ids = np.frombuffer(block, np.uint32)
+            n = self.lengths[ids]
+            ends = np.cumsum(n)
+            # Byte k of the block is byte k - (end - length) of its token.
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - ends + n, n)
+            yield decoder.decode(self.bytes[at].tobytes())
         yield decoder.decode(b"", True)
 
 
+def _join(block: list[Ids]) -> Ids:
+    decimals, ids = zip(*block)
+    return "".join(decimals), b"".join(ids)
+
+
 @contextmanager
 def no_collection():
     """Without searches for cyclic garbage, which would go through all states again and again."""
@@ -332,7 +368,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="t
         c = codec(vocabulary)
         for pdf in batches:
             ids = [
-                [int(i) for block in c.encode(t or "") for i in block[:-1].split(",")]
+                np.frombuffer(b"".join(block for _, block in c.encode(t or "")), np.uint32).tolist()
                 for t in pdf["text"]
             ]
             yield pd.DataFrame({"id": pdf["id"], "n_tokens": [len(i) for i in ids], "tokens": ids})
@@ -355,7 +391,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col="doc_id") -> DataF
                 if t is None
                 else "".join(
                     c.decode(
-                        list(map(str, t[k : k + DECODE_BLOCK]))
+                        np.asarray(t[k : k + DECODE_BLOCK], np.uint32).tobytes()
                         for k in range(0, len(t), DECODE_BLOCK)
                     )
                 )
@@ -389,12 +425,11 @@ def round_trip(
 
                 def blocks():
                     nonlocal n
-                    for block in c.encode(text or ""):
-                        decimals = block[:-1]
-                        ids.update(b"," + decimals.encode() if n else decimals.encode())
-                        part = decimals.split(",")
-                        n += len(part)
-                        yield part
+                    for decimals, block in c.encode(text or ""):
+                        # The comma behind a block's last id waits for the next block.
+                        ids.update(("," + decimals[:-1] if n else decimals[:-1]).encode())
+                        n += len(block) // 4
+                        yield block
 
                 for piece in c.decode(blocks()):
                     back.update(piece.encode())
