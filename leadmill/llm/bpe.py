@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 #: States, checked borders and encoded fragments that one Python worker keeps.
 MAX_STATES = 200_000
 MAX_BORDERS = 500_000
-MAX_FRAGMENTS = 1_000_000
+MAX_FRAGMENTS = 300_000
 #: Tokens that are decoded at once.
 DECODE_BLOCK = 4096
 #: Longest fragment whose encoding is remembered.

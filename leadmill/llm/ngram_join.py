@@ -9,8 +9,12 @@ far back in the order, too few can follow, so such candidates aren't made.
 
 Equal sets are joined by a digest and go on as one representative. Large groups of near copies
 would still give all their pairs. Therefore each representative is first compared with one
-other only, the one that comes first in a random ranking of those it shares a prefix shingle
-with. Pairs that are then in one component need no comparison; all others are compared.
+other only, a hub: the one that comes first in a random ranking of those it shares a prefix
+shingle with. Those that share one with another component are then compared with HUBS further
+ones. Pairs that are then in one component need no comparison; all others are compared.
+
+A set's profile counts its shingles by ranges of their hash. Two sets share in each range at most
+the smaller of their counts, so the join itself drops pairs whose profiles leave too little room.
 """
 
 from collections import OrderedDict
@@ -18,15 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leadmill.llm.components import connected
 from leadmill.llm.shingles import mix, shingle_set
-from leadmill.llm.staging import stage, to_texts
+from leadmill.llm.staging import Staged, stage, to_texts
 
 #: Places of the table that counts shingles by hash; it has this fixed size at any scale.
 SKETCH_BITS = 22
 _BLOCKS = 64
+#: Hubs of the second round, and ranges of a profile in the index.
+HUBS = 8
+PLACES = 64
 #: Partial counts of one block that are added up by one task.
 _FAN_IN = 64
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
@@ -50,8 +57,17 @@ class Similarity:
         return (100 + self.percent) * most >= self.percent * (F.col(n) + F.col(n2))
 
 
+    def fits(self, n: str, profile: str, n2: str, profile2: str):
+        """Whether profiles leave room for enough common shingles; a clipped count always does."""
+        a, b = F.col(profile), F.col(profile2)
+        most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        clipped = F.greatest(F.array_max(a), F.array_max(b)) == 32767
+        return clipped | ((100 + self.percent) * most >= self.percent * (F.col(n) + F.col(n2)))
+
+
 def _signatures(docs: DataFrame, how: Similarity) -> DataFrame:
-    """Per document: n, digests s1 and s2 of its set; per task: the blocks of its counts."""
+    """Per document: n, digests s1 and s2 and the profile of its set; per task: the blocks of its
+    counts."""
 
     def work(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -62,18 +78,23 @@ def _signatures(docs: DataFrame, how: Similarity) -> DataFrame:
                 h = shingle_set(text, how.words)
                 np.add.at(counts, (h >> shift).astype(np.int64), 1)
                 s1, s2 = (int(mix(h ^ s).sum(dtype=np.uint64).view(np.int64)) for s in _SEEDS[:2])
-                rows.append((i, len(h), s1, s2))
-            out = pd.DataFrame(rows, columns=["id", "n", "s1", "s2"])
+                at = (h >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+                profile = np.minimum(np.bincount(at, minlength=PLACES), 32767).astype(np.int16)
+                rows.append((i, len(h), s1, s2, profile))
+            out = pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "profile"])
             yield out.astype({"id": "Int64"}).assign(block=pd.array([None] * len(out), "Int64"), counts=None)
         if counts.any():
             parts = np.split(counts, _BLOCKS)
             none = pd.array([None] * _BLOCKS, "Int64")
             yield pd.DataFrame(
-                {"id": none, "n": none, "s1": none, "s2": none,
+                {"id": none, "n": none, "s1": none, "s2": none, "profile": None,
                  "block": pd.array(range(_BLOCKS), "Int64"), "counts": [p.tobytes() for p in parts]}
             )
 
-    return docs.mapInPandas(work, "id long, n long, s1 long, s2 long, block long, counts binary")
+    return docs.mapInPandas(
+        work,
+        "id long, n long, s1 long, s2 long, profile array<smallint>, block long, counts binary",
+    )
 
 
 def _classes(counts: DataFrame) -> np.ndarray:
@@ -104,10 +125,12 @@ def _classes(counts: DataFrame) -> np.ndarray:
     for r in now.df.toLocalIterator():
         table[r.block] += np.frombuffer(r.counts, np.int64)
     now.drop()
-    table = table.reshape(-1)
     mean = table.mean()
     usual = mean + 3 * np.sqrt(mean) + 2
-    return np.ceil(np.log2(np.maximum(table / usual, 1))).astype(np.uint8)
+    out = np.empty(table.shape, np.uint8)
+    for block, counts_ in zip(out, table):
+        block[:] = np.ceil(np.log2(np.maximum(counts_ / usual, 1)))
+    return out.reshape(-1)
 
 
 def _prefix(h: np.ndarray, classes: np.ndarray, order: int, how: Similarity) -> np.ndarray:
@@ -224,6 +247,37 @@ def _several(index: DataFrame, column: str) -> DataFrame:
     return index.join(tokens.where("low < high").select("token"), "token")
 
 
+_SIDE = ["rep", "n", "pos", "comp", "profile"]
+
+
+def _between(index: DataFrame, roots: DataFrame, profiles: DataFrame) -> Staged:
+    """The rows of index, with component and profile, whose token several components have."""
+    labelled = stage(
+        index.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("token", "rep", "n", "pos", F.coalesce("root", "rep").alias("comp")),
+        "index",
+    )
+    rest = stage(_several(labelled.df, "comp").join(profiles, "rep"), "index")
+    labelled.drop()
+    return rest
+
+
+def _met(x: DataFrame, y: DataFrame, how: Similarity, order: Column | None = None) -> DataFrame:
+    """Pairs (a, b), a before b, of different components that share a token and may be similar;
+    of both directions of a pair, those that are in `order`."""
+    return (
+        x.join(y, "token")
+        .where(
+            (F.col("comp_x") != F.col("comp_y"))
+            & (F.lit(True) if order is None else order)
+            & how.room("n_x", "pos_x", "n_y", "pos_y")
+            & how.fits("n_x", "profile_x", "n_y", "profile_y")
+        )
+        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -246,6 +300,17 @@ def near_duplicates(
         .unionByName(sets.where("n = 0 or id is null").select("id", "n", F.col("id").alias("rep"))),
         "classes",
     )
+    # A representative's profile; one whose rows have several sets has room for all.
+    own = made.df.where("block is null and n > 0").join(first, ["n", "s1", "s2"]).where("id = rep")
+    low, high = F.min("profile"), F.max("profile")
+    profiles = stage(
+        own.groupBy("rep").agg(
+            F.when(low == high, low).otherwise(
+                F.array_repeat(F.lit(32767).cast("smallint"), PLACES)
+            ).alias("profile")
+        ),
+        "profiles",
+    )
     made.drop()
 
     # The index: prefix shingles that at least two representatives have.
@@ -276,28 +341,34 @@ def near_duplicates(
     )
     links = stage(_links(hubs, texts.df, classes, how), "links")
     roots = stage(connected(links.df), "roots")
+    rest = _between(index.df.drop("comp"), roots.df, profiles.df)
+    index.drop()
 
-    # All pairs that are not yet in one component.
-    labelled = stage(
-        index.df.drop("comp").join(roots.df.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("token", "rep", "n", "pos", F.coalesce("root", "rep").alias("comp")),
-        "index",
+    # Those that may have links to other components, each with a few more.
+    ranks = F.array(*[
+        F.struct(F.xxhash64("rep", F.lit(k)).alias("k"), "rep", "n", "pos", "comp", "profile")
+        for k in range(HUBS)
+    ])
+    few = (
+        rest.df.select("token", F.posexplode(ranks).alias("at", "hub"))
+        .groupBy("token", "at").agg(F.min("hub").alias("hub"))
+        .select("token", "hub.*").distinct()
+        .select("token", *[F.col(c).alias(f"{c}_y") for c in _SIDE])
     )
-    index.drop()
-    rest = stage(_several(labelled.df, "comp"), "index")
-    labelled.drop()
-    x, y = (rest.df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "pos", "comp")]) for s in "xy")
-    pairs = (
-        x.join(y, "token")
-        .where((F.col("comp_x") != F.col("comp_y")) & (F.col("rep_x") < F.col("rep_y")))
-        .where(how.room("n_x", "pos_x", "n_y", "pos_y"))
-        .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-        .distinct()
-    )
-    more = stage(_links(pairs, texts.df, classes, how), "links")
+    side = rest.df.select("token", *[F.col(c).alias(f"{c}_x") for c in _SIDE])
+    more = stage(_links(_met(side, few, how), texts.df, classes, how), "links")
+    linked = links.df.unionByName(more.df)
+    roots = stage(connected(linked), "roots")
+    last = _between(rest.df.drop("comp", "profile"), roots.df, profiles.df)
     rest.drop()
+
+    # All pairs that are not yet in one component.
+    x, y = (last.df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in _SIDE]) for s in "xy")
+    pairs = _met(x, y, how, F.col("rep_x") < F.col("rep_y"))
+    every = stage(_links(pairs, texts.df, classes, how), "links")
+    last.drop()
     texts.drop()
-    final = connected(links.df.unionByName(more.df))
+    final = connected(linked.unionByName(every.df))
     return whole.df.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -314,6 +385,9 @@ def deduplicate(
     Rows that share an id stay or go together; rows without an id or without words all stay.
     """
     found = near_duplicates(docs, how, id_col, text_col)
-    later = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__later"))
+    later = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("later"))
     later = to_texts(later.distinct(), "later")
-    return docs.join(later, F.col(id_col) == F.col("__later"), "left_anti")
+    # Within a struct, the columns of docs can't clash with the helper's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(later, F.col(f"row.`{id_col}`") == F.col("later"), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
