@@ -32,7 +32,7 @@ from leadmill.llm.staging import Staged, stage, to_texts
 SKETCH_BITS = 22
 _BLOCKS = 64
 #: Hubs of the second round, and ranges of a profile in the index.
-HUBS = 8
+HUBS = 3
 PLACES = 64
 #: Partial counts of one block that are added up by one task.
 _FAN_IN = 64
@@ -345,15 +345,14 @@ def near_duplicates(
     index.drop()
 
     # Those that may have links to other components, each with a few more.
-    ranks = F.array(*[
-        F.struct(F.xxhash64("rep", F.lit(k)).alias("k"), "rep", "n", "pos", "comp", "profile")
+    ranks = [
+        F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("k"), "rep", "n", "pos", "comp"))
         for k in range(HUBS)
-    ])
+    ]
     few = (
-        rest.df.select("token", F.posexplode(ranks).alias("at", "hub"))
-        .groupBy("token", "at").agg(F.min("hub").alias("hub"))
-        .select("token", "hub.*").distinct()
-        .select("token", *[F.col(c).alias(f"{c}_y") for c in _SIDE])
+        rest.df.groupBy("token").agg(F.array(*ranks).alias("hubs"))
+        .select("token", F.explode("hubs").alias("hub")).select("token", "hub.*").drop("k").distinct()
+        .join(profiles.df, "rep").select("token", *[F.col(c).alias(f"{c}_y") for c in _SIDE])
     )
     side = rest.df.select("token", *[F.col(c).alias(f"{c}_x") for c in _SIDE])
     more = stage(_links(_met(side, few, how), texts.df, classes, how), "links")
