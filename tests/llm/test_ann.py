@@ -36,7 +36,7 @@ def test_query(spark, sf_dir):
 
 
 def test_recall_with_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART", 150)
+    monkeypatch.setattr(ann, "PARTS", 0.4)
     monkeypatch.setattr(ann, "BLOCK", 64)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
     rng = np.random.default_rng(2)
@@ -53,6 +53,37 @@ def test_recall_with_many_parts(spark, monkeypatch):
             assert s == pytest.approx(float(x[i] @ x[q]), abs=1e-12)
 
 
+def test_parts_in_use_at_every_size(spark):
+    """Also on the given vectors, which are spread evenly, so that most parts are searched."""
+    for sf, least in (("sf0.01", 5), ("sf0.1", 10)):
+        df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        parts, share = ann.share_searched(df)
+        print(f"{sf}: {parts} parts, {share:.0%} searched")
+        assert parts >= least
+        got, want = found(ann.search(df)), brute([(r.vec_id, r.embedding) for r in df.collect()])
+        print(f"recall {recall(got, want):.3f}")
+        assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_clear_neighbourhoods_need_few_parts(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 3
+    x = centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    parts, share = ann.share_searched(df)
+    assert parts >= 15 and share < 0.4
+
+
+def test_lengths_are_searched_among_themselves(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4 + i % 2).tolist()) for i in range(200)]
+    got = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=5))
+    for n in (4, 5):
+        own = [r for r in rows if len(r[1]) == n]
+        want = brute(own, 5, 5)
+        assert recall({q: got[q] for q in want}, want) >= 0.9 and all(len(got[q]) == 5 for q in want)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]),
