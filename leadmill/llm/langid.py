@@ -139,7 +139,9 @@ def train(
             vectors = [features(t).astype(np.float16).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"lang": pdf["lang"], "x": vectors})
 
-    got = chosen.select("lang", "text").mapInPandas(work, "lang string, x binary").toPandas()
+    # Repeated rows count once, however often they come up; partial results drop them early.
+    one = chosen.select("id", "lang", "text").distinct().select("lang", "text")
+    got = one.mapInPandas(work, "lang string, x binary").toPandas()
     got = got.sort_values(["lang", "x"], ignore_index=True)
     x = np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32)
     seen = sorted(set(got["lang"]))

@@ -24,6 +24,8 @@ MAX_UNLABELLED = 9000
 MAX_FEATURES = 60_000
 #: A feature must occur in so many sampled positives.
 MIN_POSITIVE = 3
+#: Texts whose features are spread out at once while the classifier is fitted.
+CHUNK_TEXTS = 1000
 #: Letters of a word's beginning.
 STEM = 5
 THRESHOLD = 0.7
@@ -81,15 +83,20 @@ def fit(
     rows = positive + unlabelled
     if not positive or not unlabelled:
         return np.zeros(features), float(np.log(prior / (1 - prior)))
-    sizes = np.array([len(r) for r in rows])
-    at = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
     p = np.arange(len(rows)) < len(positive)
+    # Texts go in chunks, so that beside the features' ids only a chunk is ever spread out.
+    chunks = []
+    for k in range(0, len(rows), CHUNK_TEXTS):
+        part = rows[k : k + CHUNK_TEXTS]
+        chunks.append((k, np.concatenate(part), np.array([len(r) for r in part])))
     w = np.zeros(features + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
+    z = np.zeros(len(rows))
     for step in range(1, 301):
-        z = np.bincount(row, w[at], len(rows)) + w[-1]
+        for k, at, sizes in chunks:
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            z[k : k + len(sizes)] = np.bincount(row, w[at], len(sizes)) + w[-1]
         s = 1 / (1 + np.exp(-z))
         # As positives: loss log(1 + exp(-z)); as negatives: log(1 + exp(z)).
         negative = np.logaddexp(0, z)
@@ -97,7 +104,10 @@ def fit(
         g = np.where(p, prior * (s - 1) / len(positive), 0.0)
         below = np.where(p, -prior * s / len(positive), s / len(unlabelled))
         g = g + below if risk >= 0 else -below
-        grad = np.append(np.bincount(at, g[row], features), g.sum())
+        grad = np.zeros_like(w)
+        for k, at, sizes in chunks:
+            grad[:-1] += np.bincount(at, np.repeat(g[k : k + len(sizes)], sizes), features)
+        grad[-1] = g.sum()
         grad[:-1] += 2e-5 * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
@@ -110,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
 
     The class prior is the share of toxic rows among all labelled ones there. Positives and
     unlabelled texts are bounded samples by a hash; a document with two labels counts as toxic
-    if one of them says so. Without positives, every score is the prior.
+    if one of them says so, and of rows that share an id one text is taken. Without positives,
+    every score is the prior. At most MAX_FEATURES features, the most frequent ones, are learned.
     """
     marks = (
         labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -133,8 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
         # All are labelled: then the fold as a whole serves as the unlabelled texts.
         some = sample(ids, MAX_UNLABELLED, ids.count(), "id")
     toxic_ids = sample(marks.where("toxic = 1"), MAX_POSITIVE, toxic, "id").select("id")
-    positives = texts.join(F.broadcast(toxic_ids), "id")
-    unlabelled = texts.join(F.broadcast(some.distinct()), "id")
+    # One text per id, found with partial minima, so that a repeated id adds nothing to a sample.
+    positives, unlabelled = (
+        texts.join(F.broadcast(ids_.distinct()), "id").groupBy("id").agg(F.min("text").alias("text"))
+        for ids_ in (toxic_ids, some)
+    )
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = Reader()
