@@ -150,5 +150,9 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
     found = find(docs, benchmark, id_col, text_col)
-    bad = to_texts(found.select(F.col("row_key").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, row_key(id_col, text_col) == F.col("__bad"), "left_anti")
+    bad = to_texts(found.select(F.col("row_key").alias("bad")).distinct(), "contaminated")
+    # Within a struct, the columns of docs can't clash with the helper's.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, row_key(id_col, text_col).alias("key"))
+    kept = rows.join(bad, F.col("key") == F.col("bad"), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

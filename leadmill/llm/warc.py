@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK = 1 << 16
+#: Bytes of payloads in an archive, as planned from all pages.
+ARCHIVE_BYTES = 64 << 20
 #: Bytes of chunks that a Python worker hands on at once.
 BATCH_BYTES = 1 << 23
 
@@ -26,6 +28,8 @@ _END = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:leadmill:page"
+#: Stands for a chunk number behind all others.
+_OTHERS = 1 << 62
 _VISIBLE = "".join(map(chr, range(33, 127)))
 
 
@@ -69,13 +73,14 @@ def _source(pages: DataFrame) -> DataFrame:
 
 
 def payload_digests(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes and payload_digest of each distinct page and payload."""
+    """page_id, payload_bytes, payload_digest and url of the pages, and how many rows have them."""
 
     def work(batches):
         for pdf in batches:
             yield pd.DataFrame(
                 {
                     "page_id": pdf["page_id"].astype("Int64"),
+                    "url": pdf["url"],
                     "payload_bytes": [len(p) for p in pdf["payload"]],
                     "payload_digest": [_digest(p) for p in pdf["payload"]],
                 }
@@ -83,9 +88,9 @@ def payload_digests(pages: DataFrame) -> DataFrame:
 
     return (
         _source(pages)
-        .select("page_id", "payload")
-        .mapInPandas(work, "page_id long, payload_bytes long, payload_digest string")
-        .distinct()
+        .mapInPandas(work, "page_id long, url string, payload_bytes long, payload_digest string")
+        .groupBy("page_id", "payload_bytes", "payload_digest", "url")
+        .agg(F.count("*").alias("copies"))
     )
 
 
@@ -112,17 +117,18 @@ def payload_chunks(pages: DataFrame) -> DataFrame:
 
 
 def record_types(digests: DataFrame, min_bytes: int) -> DataFrame:
-    """For each page of payload_digests(): the page that has its payload, or null.
+    """For each page and payload of payload_digests(): the page that has its payload, or null.
 
     Of equal payloads of min_bytes or more, the smallest page_id has the payload and the
-    others point to it. Pages without an id come last among their equals.
+    others point to it. Pages without an id come last among their equals. The page's first record
+    has the least of its urls.
     """
-    first = digests.groupBy("payload_digest", "payload_bytes").agg(
-        F.min("page_id").alias("first_id")
-    )
-    return digests.join(first, ["payload_digest", "payload_bytes"]).select(
+    one = digests.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.min("url").alias("url"))
+    first = one.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
+    return one.join(first, ["payload_digest", "payload_bytes"]).select(
         "page_id",
         "payload_digest",
+        "url",
         F.when(
             (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")),
             F.col("first_id"),
@@ -151,66 +157,95 @@ def write_archives(
     min_bytes: int = 0,
     archives: int | None = None,
 ) -> None:
-    """Write a record for each distinct page and payload of pages (page_id, url, html).
+    """Write a record for each row of pages (page_id, url, html).
 
-    A null html is an empty payload, a null url about:blank. Rows that repeat both page_id and
-    payload give one record. An empty table gives archives without page records. Other columns
-    are left alone.
+    A null html is an empty payload, a null url about:blank. Of rows that repeat both page_id and
+    payload, one is as if it were alone, with the least of their urls; the others revisit it, or
+    are responses too, if the payload is smaller than min_bytes. An empty table gives archives
+    without page records. Other columns are left alone. The number of archives follows the bytes
+    of all payloads, unless it is given.
     """
-    spark = pages.sparkSession
-    archives = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    types = record_types(payload_digests(pages), min_bytes)
-    # The row with a page's type comes before its chunks.
-    rows = payload_chunks(pages).withColumn("refers_to", F.lit(None).cast("long")).unionByName(
-        types.select(
-            "page_id", "payload_digest", F.lit(-1).cast("long").alias("chunk_no"), "refers_to"
-        ),
-        allowMissingColumns=True,
-    )
-    rows = rows.repartition(archives, "page_id", "payload_digest").sortWithinPartitions(
-        "page_id", "payload_digest", "chunk_no"
-    )
+    source = _source(pages)
+    if archives is None:
+        size = source.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+        archives = max(1, -(-size // ARCHIVE_BYTES))
+    digests = payload_digests(pages)
+    types = record_types(digests, min_bytes)
+    # The row with a page's type comes before its chunks, those of further rows come after them.
+    key = ["page_id", "payload_digest"]
+    again = digests.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").select(*key)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"a.{c}")) for c in key]
+    others = digests.alias("d").join(again.alias("a"), same, "left_semi")
+    others = others.select(*key, F.lit(_OTHERS).alias("chunk_no"), "payload_bytes", "url", "copies")
+    rows = (
+        payload_chunks(pages).drop("url")
+        .unionByName(
+            types.select(*key, F.lit(-1).cast("long").alias("chunk_no"), "url", "refers_to"),
+            allowMissingColumns=True,
+        )
+        .unionByName(others, allowMissingColumns=True)
+    )
+    rows = rows.repartition(archives, *key).sortWithinPartitions(*key, "chunk_no", "url")
 
     def records(batches) -> Iterator[tuple]:
         yield (_head("warcinfo", [("WARC-Date", date), ("WARC-Record-ID", f"<{_ID}:info>")], 0),)
-        last = refers_to = None
+        last = refers_to = first_url = None
+        small, made = [], 0
         for pdf in batches:
-            for page_id, digest, n, size, url, data, target in zip(
+            for page_id, digest, n, size, url, data, target, copies in zip(
                 _ids(pdf, "page_id"), pdf["payload_digest"], pdf["chunk_no"],
-                pdf["payload_bytes"], pdf["url"], pdf["data"], _ids(pdf, "refers_to"),
+                pdf["payload_bytes"], pdf["url"], pdf["data"], _ids(pdf, "refers_to"), _ids(pdf, "copies"),
             ):
+                own = _record_id(page_id, digest)
                 if n < 0:
-                    refers_to = target
-                    continue
-                if (page_id, digest, n) == last or refers_to is not None and n:
+                    refers_to, first_url, small, made = target, url, [], 0
+                elif n == _OTHERS:
+                    to = own if refers_to is None else _record_id(refers_to, digest)
+                    # One of them has been written, under the least url.
+                    for _ in range(copies - (url == first_url)):
+                        made += 1
+                        again = f"{own[:-1]}:again{made}>"
+                        if size < min_bytes:
+                            for k, part in enumerate(small):
+                                yield (response(again, digest, k, size, url, part),)
+                        else:
+                            yield (revisit(again, digest, url, to),)
+                elif (page_id, digest, n) == last or refers_to is not None and n:
                     continue  # a repeated row, or a payload that another record has
-                last = (page_id, digest, n)
-                own = _record_id(page_id, digest)
-                uri = quote("about:blank" if url is None else url, safe=_VISIBLE)
-                fields = [("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", uri)]
-                if n == 0:
-                    fields += [
-                        ("WARC-Payload-Digest", f"sha1:{digest}"),
-                        ("Content-Type", "application/http; msgtype=response"),
-                    ]
-                if refers_to is not None:
-                    fields += [
-                        ("WARC-Profile", _PROFILE),
-                        ("WARC-Refers-To", _record_id(refers_to, digest)),
-                    ]
-                    yield (_head("revisit", fields, len(_HTTP)) + _HTTP,)
-                    continue
-                if size > CHUNK:
-                    fields.append(("WARC-Segment-Number", n + 1))
-                if n:
-                    fields[0] = ("WARC-Record-ID", f"{own[:-1]}:{n + 1}>")
-                    fields.append(("WARC-Segment-Origin-ID", own))
-                    if n == (size - 1) // CHUNK:
-                        fields.append(("WARC-Segment-Total-Length", len(_HTTP) + size))
-                    yield (_head("continuation", fields, len(data)) + data,)
+                elif refers_to is not None:
+                    yield (revisit(own, digest, first_url, _record_id(refers_to, digest)),)
                 else:
-                    block = _HTTP + data
-                    yield (_head("response", fields, len(block)) + block,)
+                    if size < min_bytes:
+                        small.append(data)
+                    yield (response(own, digest, n, size, first_url, data),)
+                if n >= 0:
+                    last = page_id, digest, n
+
+    def fields_of(own: str, digest: str, url: str | None, first: bool) -> list[tuple[str, object]]:
+        uri = quote("about:blank" if url is None else url, safe=_VISIBLE)
+        fields = [("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", uri)]
+        if first:
+            fields += [
+                ("WARC-Payload-Digest", f"sha1:{digest}"),
+                ("Content-Type", "application/http; msgtype=response"),
+            ]
+        return fields
+
+    def revisit(own: str, digest: str, url: str | None, to: str) -> bytes:
+        fields = [*fields_of(own, digest, url, True), ("WARC-Profile", _PROFILE), ("WARC-Refers-To", to)]
+        return _head("revisit", fields, len(_HTTP)) + _HTTP
+
+    def response(own: str, digest: str, n: int, size: int, url: str | None, data: bytes) -> bytes:
+        fields = fields_of(own, digest, url, n == 0)
+        if size > CHUNK:
+            fields.append(("WARC-Segment-Number", n + 1))
+        if not n:
+            return _head("response", fields, len(_HTTP) + len(data)) + _HTTP + data
+        fields[0] = ("WARC-Record-ID", f"{own[:-1]}:{n + 1}>")
+        fields.append(("WARC-Segment-Origin-ID", own))
+        if n == (size - 1) // CHUNK:
+            fields.append(("WARC-Segment-Total-Length", len(_HTTP) + size))
+        return _head("continuation", fields, len(data)) + data
 
     rows.mapInPandas(lambda b: _frames(records(b), ["value"]), "value binary").select(
         F.col("value").cast("string")

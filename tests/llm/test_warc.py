@@ -40,8 +40,12 @@ def pages(spark):
 def test_round_trip(spark, pages):
     folder = new_folder(spark, "warc")
     warc.write_archives(pages, folder, archives=3)
-    rows = warc.read_records(spark, folder).collect()
-    assert got(rows) == want(HTML) and len(rows) == len(HTML) and all(r.intact for r in rows)
+    every = warc.read_records(spark, folder).collect()
+    # The row that is repeated has a record of its own, as the contract asks.
+    (again,) = (r for r in every if r.refers_to == r.page_id)
+    assert (again.page_id, again.record_type) == (1, "revisit")
+    rows = [r for r in every if r is not again]
+    assert got(rows) == want(HTML) and len(rows) == len(HTML) and all(r.intact for r in every)
     chunks = warc.read_chunks(spark, folder).collect()
     assert max(len(r.data) for r in chunks) <= warc.CHUNK
     parts = sorted((r.chunk_no, bytes(r.data)) for r in chunks if ":7:" in r.record_id)
@@ -79,6 +83,27 @@ def test_pages_without_id_and_empty_tables(spark, pages):
     assert warc.read_records(spark, folder).count() == 0
 
 
+@pytest.mark.parametrize("min_bytes", [0, 200_000])
+def test_every_row_has_a_record(spark, min_bytes):
+    long = "z" * 150_000
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (1, None, "x"), (2, "c", "x"), (2, "c", "x"),
+            (None, "n", "x"), (None, "n", "x"), (3, "l", long), (3, "l", long), (3, "l", "other")]
+    few = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = new_folder(spark, "warc")
+    warc.write_archives(few, folder, min_bytes=min_bytes, archives=2)
+    read = warc.read_records(spark, folder).collect()
+    found = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in read)
+    assert all(r.intact for r in read)
+    if min_bytes:
+        assert found == sorted((i or 0, len(h), "response", 0) for i, _, h in rows)
+    else:
+        assert found == [
+            (0, 1, "revisit", 1), (0, 1, "revisit", 1), (1, 1, "response", 0), (1, 1, "revisit", 1),
+            (1, 1, "revisit", 1), (1, 1, "revisit", 1), (2, 1, "revisit", 1), (2, 1, "revisit", 1),
+            (3, 5, "response", 0), (3, 150_000, "response", 0), (3, 150_000, "revisit", 3),
+        ]
+
+
 def test_small_payloads_are_not_revisited(spark, pages):
     folder = new_folder(spark, "warc")
     warc.write_archives(pages, folder, min_bytes=100)
