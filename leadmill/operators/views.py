@@ -187,6 +187,7 @@ def phone_lookup_orders(
         asked.select(row_id, F.col("normalized_phone").alias("customer_id"), "match_status"),
         listed.filter(F.col("customer_id").isNotNull()),
         ["customer_id"],
+        theirs,
     )
 
 
