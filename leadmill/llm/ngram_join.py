@@ -31,8 +31,8 @@ from leadmill.llm.staging import Staged, stage, to_texts
 #: Places of the table that counts shingles by hash; it has this fixed size at any scale.
 SKETCH_BITS = 22
 _BLOCKS = 64
-#: Hubs of the second round, and ranges of a profile in the index.
-HUBS = 3
+#: Hubs of each round, the most rounds, and ranges of a profile in the index.
+HUBS, ROUNDS = 8, 3
 PLACES = 64
 #: Partial counts of one block that are added up by one task.
 _FAN_IN = 64
@@ -344,28 +344,36 @@ def near_duplicates(
     rest = _between(index.df.drop("comp"), roots.df, profiles.df)
     index.drop()
 
-    # Those that may have links to other components, each with a few more.
-    ranks = [
-        F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("k"), "rep", "n", "pos", "comp"))
-        for k in range(HUBS)
-    ]
-    few = (
-        rest.df.groupBy("token").agg(F.array(*ranks).alias("hubs"))
-        .select("token", F.explode("hubs").alias("hub")).select("token", "hub.*").drop("k").distinct()
-        .join(profiles.df, "rep").select("token", *[F.col(c).alias(f"{c}_y") for c in _SIDE])
-    )
-    side = rest.df.select("token", *[F.col(c).alias(f"{c}_x") for c in _SIDE])
-    more = stage(_links(_met(side, few, how), texts.df, classes, how), "links")
-    linked = links.df.unionByName(more.df)
-    roots = stage(connected(linked), "roots")
-    last = _between(rest.df.drop("comp", "profile"), roots.df, profiles.df)
-    rest.drop()
+    # Where more than HUBS may have links to other components, each with so many more, as long as
+    # that finds links: then few pairs of large groups are left to be compared.
+    linked, turn = links.df, 0
+    while turn < ROUNDS:
+        ranks = [
+            F.min(F.struct(F.xxhash64("rep", F.lit(turn * HUBS + k)).alias("k"), "rep", "n", "pos", "comp"))
+            for k in range(HUBS)
+        ]
+        few = (
+            rest.df.groupBy("token").agg(F.array(*ranks).alias("hubs"), F.count("*").alias("size"))
+            .where(F.col("size") > HUBS)
+            .select("token", F.explode("hubs").alias("hub")).select("token", "hub.*").drop("k").distinct()
+            .join(profiles.df, "rep").select("token", *[F.col(c).alias(f"{c}_y") for c in _SIDE])
+        )
+        side = rest.df.select("token", *[F.col(c).alias(f"{c}_x") for c in _SIDE])
+        more = stage(_links(_met(side, few, how), texts.df, classes, how), "links")
+        found = more.df.count()
+        if not found:
+            break
+        linked, turn = linked.unionByName(more.df), turn + 1
+        roots = stage(connected(linked), "roots")
+        left = _between(rest.df.drop("comp", "profile"), roots.df, profiles.df)
+        rest.drop()
+        rest = left
 
     # All pairs that are not yet in one component.
-    x, y = (last.df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in _SIDE]) for s in "xy")
+    x, y = (rest.df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in _SIDE]) for s in "xy")
     pairs = _met(x, y, how, F.col("rep_x") < F.col("rep_y"))
     every = stage(_links(pairs, texts.df, classes, how), "links")
-    last.drop()
+    rest.drop()
     texts.drop()
     final = connected(linked.unionByName(every.df))
     return whole.df.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
