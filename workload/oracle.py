@@ -158,7 +158,7 @@ SELECT order_id, source_platform, order_date, customer_name, order_status, payme
        {double('net_revenue')} AS net_revenue, {double('shipping_cost')} AS shipping_cost,
        shipping_provider, total_qty
 FROM (SELECT *, row_number() OVER (ORDER BY order_date DESC NULLS LAST, order_id, source_platform) AS n,
-             greatest(1, ceil(count(*) OVER () / 100.0) * 9 // 10) AS page
+             greatest(1, CAST(ceil(count(*) OVER () / 100.0) AS BIGINT) * 9 // 10) AS page
       FROM m_orders) AS o
 WHERE n > (page - 1) * 100 AND n <= page * 100""")
 oracle("list_orders_deep_page", f"""
