@@ -32,7 +32,7 @@ from leadmill.llm.staging import Staged, stage, to_texts
 SKETCH_BITS = 22
 _BLOCKS = 64
 #: Hubs of each round, the most rounds, and ranges of a profile in the index.
-HUBS, ROUNDS = 8, 3
+HUBS, ROUNDS = 8, 2
 PLACES = 64
 #: Partial counts of one block that are added up by one task.
 _FAN_IN = 64
@@ -250,14 +250,16 @@ def _several(index: DataFrame, column: str) -> DataFrame:
 _SIDE = ["rep", "n", "pos", "comp", "profile"]
 
 
-def _between(index: DataFrame, roots: DataFrame, profiles: DataFrame) -> Staged:
-    """The rows of index, with component and profile, whose token several components have."""
-    labelled = stage(
-        index.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("token", "rep", "n", "pos", F.coalesce("root", "rep").alias("comp")),
-        "index",
-    )
-    rest = stage(_several(labelled.df, "comp").join(profiles, "rep"), "index")
+def _labelled(index: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of index with the component of their representative."""
+    joined = index.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return joined.withColumn("comp", F.coalesce("root", "rep")).drop("root")
+
+
+def _between(index: DataFrame, roots: DataFrame) -> Staged:
+    """The rows of index, with component, whose token several components have."""
+    labelled = stage(_labelled(index, roots), "index")
+    rest = stage(_several(labelled.df, "comp"), "index")
     labelled.drop()
     return rest
 
@@ -341,33 +343,39 @@ def near_duplicates(
     )
     links = stage(_links(hubs, texts.df, classes, how), "links")
     roots = stage(connected(links.df), "roots")
-    rest = _between(index.df.drop("comp"), roots.df, profiles.df)
+    rest = _between(index.df.drop("comp"), roots.df)
     index.drop()
 
-    # Where more than HUBS may have links to other components, each with so many more, as long as
-    # that finds links: then few pairs of large groups are left to be compared.
-    linked, turn = links.df, 0
-    while turn < ROUNDS:
+    # In large groups, those that may have links to other components are compared with a few more
+    # each, once again if that finds many links: few pairs of such groups are left then.
+    often = rest.df.groupBy("token").count().where(F.col("count") > HUBS).select("token")
+    big = stage(rest.df.join(often, "token").join(profiles.df, "rep"), "index")
+    linked = links.df
+    many = big.df.select("rep").distinct().count() // 20
+    for turn in range(ROUNDS if many else 0):
         ranks = [
-            F.min(F.struct(F.xxhash64("rep", F.lit(turn * HUBS + k)).alias("k"), "rep", "n", "pos", "comp"))
+            F.min(F.struct(F.xxhash64("rep", F.lit(turn * HUBS + k)).alias("k"), "rep", "n", "pos", "comp", "profile"))
             for k in range(HUBS)
         ]
         few = (
-            rest.df.groupBy("token").agg(F.array(*ranks).alias("hubs"), F.count("*").alias("size"))
-            .where(F.col("size") > HUBS)
+            big.df.groupBy("token").agg(F.array(*ranks).alias("hubs"))
             .select("token", F.explode("hubs").alias("hub")).select("token", "hub.*").drop("k").distinct()
-            .join(profiles.df, "rep").select("token", *[F.col(c).alias(f"{c}_y") for c in _SIDE])
+            .select("token", *[F.col(c).alias(f"{c}_y") for c in _SIDE])
         )
-        side = rest.df.select("token", *[F.col(c).alias(f"{c}_x") for c in _SIDE])
+        side = big.df.select("token", *[F.col(c).alias(f"{c}_x") for c in _SIDE])
         more = stage(_links(_met(side, few, how), texts.df, classes, how), "links")
-        found = more.df.count()
-        if not found:
-            break
-        linked, turn = linked.unionByName(more.df), turn + 1
+        linked = linked.unionByName(more.df)
         roots = stage(connected(linked), "roots")
-        left = _between(rest.df.drop("comp", "profile"), roots.df, profiles.df)
-        rest.drop()
-        rest = left
+        if more.df.count() < many:
+            break
+        left = stage(_labelled(big.df.drop("comp"), roots.df), "index")
+        big.drop()
+        big = left
+    big.drop()
+    last = _between(rest.df.drop("comp"), roots.df)
+    rest.drop()
+    rest = stage(last.df.join(profiles.df, "rep"), "index")
+    last.drop()
 
     # All pairs that are not yet in one component.
     x, y = (rest.df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in _SIDE]) for s in "xy")
