@@ -175,44 +175,20 @@ def _postings(docs: DataFrame, classes, how: Similarity) -> DataFrame:
     return docs.where("id is not null").mapInPandas(work, "token long, id long, n long, pos long")
 
 
-def _profiled(texts: DataFrame, how: Similarity) -> DataFrame:
-    """Add profile: how many of a set's shingles fall in each of 256 places by hash, 255 for
-    that many or more."""
-
-    def work(batches):
-        for pdf in batches:
-            counts = [np.bincount((shingle_set(t, how.words) >> np.uint64(56)).astype(np.int64), minlength=256) for t in pdf["text"]]
-            yield pdf.assign(profile=[np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts])
-
-    return texts.select("id", "text").mapInPandas(work, "id long, text string, profile binary")
-
-
-def _possible(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs whose profiles leave room for enough common shingles; this loses no link.
-
-    Two sets share in each place at most the smaller of their counts there. A profile is a
-    small part of a text, so most candidates go before texts are brought together.
-    """
-
-    def work(batches):
-        for pdf in batches:
-            x, y = (
-                np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, 256).astype(np.int64)
-                for c in ("profile_a", "profile_b")
-            )
-            # 100 * both >= percent * (x + y - both), with the most that both can be.
-            room = (100 + how.percent) * np.minimum(x, y).sum(1) >= how.percent * (x + y).sum(1)
-            keep = room | (x == 255).any(1) | (y == 255).any(1)
-            yield pdf.loc[keep, ["a", "b"]]
-
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("profile").alias(f"profile_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "profile_a", "profile_b").mapInPandas(work, "a long, b long").distinct()
+def _possible(pairs: DataFrame, profiles: DataFrame, how: Similarity) -> DataFrame:
+    """The pairs whose profiles leave room for enough common shingles; this loses no link."""
+    side = lambda c: profiles.select(*[F.col(x).alias(f"{x}_{c}") for x in profiles.columns])
+    return (
+        pairs.join(side("a"), F.col("a") == F.col("rep_a"))
+        .join(side("b"), F.col("b") == F.col("rep_b"))
+        .where(how.fits("n_a", "profile_a", "n_b", "profile_b"))
+        .select("a", "b").distinct()
+    )
 
 
 def _links(pairs: DataFrame, texts: DataFrame, classes, how: Similarity) -> DataFrame:
     """The pairs (a, b) whose sets pass the other orders' filters and are similar enough."""
-    pairs = stage(_possible(pairs, texts, how), "pairs").df
+    pairs = stage(pairs, "pairs").df
 
     def work(batches):
         table, known = classes.value, OrderedDict()
@@ -307,9 +283,10 @@ def near_duplicates(
     low, high = F.min("profile"), F.max("profile")
     profiles = stage(
         own.groupBy("rep").agg(
+            F.max("n").alias("n"),
             F.when(low == high, low).otherwise(
                 F.array_repeat(F.lit(32767).cast("smallint"), PLACES)
-            ).alias("profile")
+            ).alias("profile"),
         ),
         "profiles",
     )
@@ -330,7 +307,7 @@ def near_duplicates(
         wanted = wanted.join(again, "id", "left_anti").unionByName(
             wanted.join(again, "id", "left_semi").distinct()
         )
-    texts = stage(_profiled(wanted, how), "texts")
+    texts = stage(wanted, "texts")
 
     # One comparison for each representative.
     rank = F.struct(F.xxhash64("rep").alias("k"), "rep", "n", "pos")
@@ -341,7 +318,7 @@ def near_duplicates(
         .groupBy("rep").agg(F.min("hub").alias("hub"))
         .select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
     )
-    links = stage(_links(hubs, texts.df, classes, how), "links")
+    links = stage(_links(_possible(hubs, profiles.df, how), texts.df, classes, how), "links")
     roots = stage(connected(links.df), "roots")
     rest = _between(index.df.drop("comp"), roots.df)
     index.drop()
@@ -349,7 +326,7 @@ def near_duplicates(
     # In large groups, those that may have links to other components are compared with a few more
     # each, once again if that finds many links: few pairs of such groups are left then.
     often = rest.df.groupBy("token").count().where(F.col("count") > HUBS).select("token")
-    big = stage(rest.df.join(often, "token").join(profiles.df, "rep"), "index")
+    big = stage(rest.df.join(often, "token").join(profiles.df.select("rep", "profile"), "rep"), "index")
     linked = links.df
     many = big.df.select("rep").distinct().count() // 20
     for turn in range(ROUNDS if many else 0):
@@ -374,7 +351,7 @@ def near_duplicates(
     big.drop()
     last = _between(rest.df.drop("comp"), roots.df)
     rest.drop()
-    rest = stage(last.df.join(profiles.df, "rep"), "index")
+    rest = stage(last.df.join(profiles.df.select("rep", "profile"), "rep"), "index")
     last.drop()
 
     # All pairs that are not yet in one component.
