@@ -46,10 +46,14 @@ _WIDE_SPACE = re.compile(r"^\s|\s$|\s | \s")
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Ranks of a tiktoken file and the pattern that splits a text before the merges."""
+    """Ranks of a tiktoken file and the pattern that splits a text before the merges.
+
+    `cache` scales what a Python worker remembers: less where other stages use its memory.
+    """
 
     path: str
     pattern: str
+    cache: float = 1.0
 
 
 class _State:
@@ -64,7 +68,8 @@ class _State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], cache: float = 1.0):
+        self.max_states, self.max_borders = int(MAX_STATES * cache), int(MAX_BORDERS * cache)
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
@@ -136,7 +141,7 @@ class Transducer:
                 left_end, left = a, self.halves(a)[1]
             else:
                 right_end, right = b, self.halves(b)[0]
-        if len(self.borders) >= MAX_BORDERS:
+        if len(self.borders) >= self.max_borders:
             self.borders.clear()
         self.borders[key] = good
         return good
@@ -192,7 +197,7 @@ class Transducer:
         chain = chain[sure:]
         if live[0][0] != sure:
             chain = (None,) + chain[1:]
-        if len(self.states) >= MAX_STATES:
+        if len(self.states) >= self.max_states:
             self.forget()
         nxt = self.states.get(chain)
         if nxt is None:
@@ -249,9 +254,10 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         with open(vocabulary.path, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        self.fst = Transducer(ranks)
+        self.fst = Transducer(ranks, vocabulary.cache)
         self.find = regex.compile(vocabulary.pattern).finditer
-        self.fragments, self.pieces = _Recent(MAX_FRAGMENTS), _Recent(MAX_FRAGMENTS)
+        most = int(MAX_FRAGMENTS * vocabulary.cache)
+        self.fragments, self.pieces = _Recent(most), _Recent(most)
         # The bytes of all tokens in one array, and where each token begins and how long it is.
         tokens = [self.fst.bytes_of.get(r, b"") for r in range(max(self.fst.bytes_of) + 1)]
         self.lengths = np.array([len(t) for t in tokens], np.int64)
