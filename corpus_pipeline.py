@@ -4,6 +4,8 @@ Toxic documents go, one document of each near-duplicate group stays, passages th
 document has are cut out, documents with benchmark items go, and what is left is encoded.
 """
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadmill.llm import bpe, decontaminate, ngram_join, passages, toxicity
@@ -11,6 +13,8 @@ from leadmill.llm.queries import VOCABULARY
 from leadmill.llm.staging import stage
 from leadmill.llm.tables import table
 
+#: The same ids with less memory: the stages before have filled the executors' Python workers.
+ENCODING = replace(VOCABULARY, cache=0.4)
 #: Near-duplicate documents: five words, similarity of 0.8.
 NEAR = ngram_join.Similarity(words=5, percent=80)
 
@@ -34,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, VOCABULARY)
+    return bpe.round_trip(docs, ENCODING)
 
 
 STAGES = [
