@@ -10,6 +10,8 @@ from leadmill.sources.staging import stage
 
 # Elements of one piece of a list, for every key.
 PIECE_ROWS = 10_000
+# Keys of long lists that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 100_000
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, right_key: str, spread: str) -> DataFrame:
@@ -62,10 +64,18 @@ def join_many(
 
 @dataclass(frozen=True)
 class OrderedLists:
-    """Lists in pieces, and the written rows they are made of, which have all their keys."""
+    """Lists in pieces, the keys they have (repeated), and the written rows of the long ones."""
 
     lists: DataFrame
-    rows: DataFrame
+    keys: DataFrame
+    rows: DataFrame | None
+
+    def join_to(self, one: DataFrame) -> DataFrame:
+        """Left join of a table to the lists of its keys."""
+        by = self.keys.columns
+        if self.rows is None:  # one row per key
+            return one.join(self.lists, by, "left")
+        return join_many(one, self.lists, by, self.keys)
 
 
 def ordered_lists(
@@ -75,26 +85,58 @@ def ordered_lists(
     values: Sequence[str],
     name: str,
     piece_rows: int = PIECE_ROWS,
+    counted: DataFrame | None = None,
 ) -> OrderedLists:
     """Arrays of structs per key, sorted by `order` (ascending, NULL first).
 
     The list of a key comes in pieces of `piece_rows` elements (the last may be shorter);
-    `part` numbers them from 0. The rows are sorted by ranges of key and order, cut at counted
-    sample quantiles, and written once. So a frequent key is spread over several tasks, even if
-    its order columns are all NULL or equal: a hash of the values and then the place in the
-    input come after them. Rows per range, summed up, give every row its place among all, and
-    its place in the list is how far that is from the first of its key.
+    `part` numbers them from 0. Keys are counted first. Up to `piece_rows` rows are one list,
+    made in one shuffle. Rows of longer lists are cut by ranges, see `_long_lists`. Where `df` is
+    dear, give `counted`: a table with the same keys, and at least as many rows of each.
     """
-    by = [*keys, "_order", "_hash", "_tie"]
     rows = df.select(
         *keys,
         F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("_order"),
         F.xxhash64(*values).alias("_hash"),
-        F.monotonically_increasing_id().alias("_tie"),
         F.struct(*values).alias("_value"),
     )
+    counted = (df if counted is None else counted).select(*keys)
+    numbers = counted.groupBy(*keys).count()
+    long = stage(numbers.filter(F.col("count") > piece_rows).select(*keys), f"{name}-long")
+    n_long = long.count()
+    short = rows
+    if n_long:
+        other = long.select(*[F.col(c).alias(f"l_{c}") for c in keys])
+        other = F.broadcast(other) if n_long <= MAX_BROADCAST else other
+        same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in keys]
+        short = rows.join(other, same, "left_anti")
+    sorted_rows = F.sort_array(F.collect_list(F.struct("_order", "_hash", "_value")))
+    lists = short.groupBy(*keys).agg(sorted_rows.alias("_rows")).select(
+        *keys,
+        F.lit(0).cast("long").alias("part"),
+        F.transform("_rows", lambda x: x["_value"]).alias(name),
+    )
+    if not n_long:
+        return OrderedLists(lists, counted, None)
+    found, kept = _long_lists(rows.join(other, same, "left_semi"), keys, name, piece_rows)
+    return OrderedLists(lists.unionByName(found), counted, kept)
+
+
+def _long_lists(
+    rows: DataFrame, keys: Sequence[str], name: str, piece_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Lists in pieces, and the rows as they were written.
+
+    The rows are sorted by ranges of key and order, cut at counted sample quantiles, and written
+    once. So a frequent key is spread over several tasks, even if its order columns are all NULL
+    or equal: a hash of the values and then the place in the input come after them. Rows per
+    range, summed up, give every row its place among all, and its place in the list is how far
+    that is from the first of its key.
+    """
+    by = [*keys, "_order", "_hash", "_tie"]
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*by).sortWithinPartitions(*by)
     kept = stage(
         dealt.select(*keys, "_value", F.spark_partition_id().alias("_range"), inside.alias("_row")),
         name,
@@ -102,7 +144,7 @@ def ordered_lists(
     # One row per range; the running sum is over a short table.
     sizes = sorted(tuple(r) for r in kept.groupBy("_range").count().collect())
     starts = accumulate((n for _, n in sizes), initial=0)
-    ranges = df.sparkSession.createDataFrame(
+    ranges = rows.sparkSession.createDataFrame(
         [(r, start) for (r, _), start in zip(sizes, starts)], "_range int, _start long"
     )
     place = F.col("_start") + F.col("_row")
@@ -117,4 +159,4 @@ def ordered_lists(
         .agg(pairs.alias("_pairs"))
         .select(*keys, "part", F.transform("_pairs", lambda x: x["_value"]).alias(name))
     )
-    return OrderedLists(lists, kept)
+    return lists, kept

@@ -87,7 +87,7 @@ def orders_with_product_list(
     """
     named = items.filter(F.col("product_name").isNotNull())
     found = ordered_lists(named, ORDER_KEY, ["item_id"], ["product_name"], "names", piece_rows)
-    return join_many(orders, found.lists, ORDER_KEY, found.rows).select(
+    return found.join_to(orders).select(
         *ORDER_KEY,
         "customer_id",
         "order_date",
@@ -139,12 +139,10 @@ def customer_360(
         orders = orders.filter(F.col("customer_id").isin(*customer_ids))
         lines = lines.join(orders.select(ORDER_KEY), ORDER_KEY, "left_semi")
     listed = ordered_lists(lines, ORDER_KEY, ["item_id"], ITEM_COLUMNS, "items", item_piece_rows)
-    history = join_many(
-        orders.select("customer_id", *HISTORY_COLUMNS),
-        listed.lists.withColumnRenamed("part", "item_part"),
-        ORDER_KEY,
-        listed.rows,
-    )
+    entries = orders.select("customer_id", *HISTORY_COLUMNS)
+    history = listed.join_to(entries).withColumnRenamed("part", "item_part")
+    # An order is one entry, and another for each further piece of its items.
+    more = entries.join(listed.lists.filter("part > 0"), ORDER_KEY).select("customer_id")
     # Ascending by this key is newest first with missing dates last.
     newest = -F.unix_micros(F.col("order_date").cast("timestamp"))
     history = history.withColumns(
@@ -161,9 +159,9 @@ def customer_360(
         [*HISTORY_COLUMNS, "item_part", "items"],
         "orders",
         piece_rows,
+        counted=entries.select("customer_id").unionByName(more),
     )
-    counted = with_order_count(customers, orders)
-    documents = join_many(counted, bought.lists, ["customer_id"], bought.rows)
+    documents = bought.join_to(with_order_count(customers, orders))
     return documents.withColumn("part", F.coalesce("part", F.lit(0)))
 
 

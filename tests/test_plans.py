@@ -135,6 +135,13 @@ def test_documents_read_little_twice(stored, no_broadcast, steps):
     assert all(scanned(s) <= 6 for s in steps)
 
 
+def test_short_lists_move_once(stored, no_broadcast, steps):
+    text = plan(views.customer_360(stored["customers"], stored["orders"], stored["items"]))
+    # Only keys of long lists are written on the way, and there are none.
+    assert len(steps) == 2 and not any("_value" in s for s in steps)
+    assert scanned(text) <= 4 and exchanges(text) <= 5
+
+
 def test_lookups_read_little_twice(stored, no_broadcast, steps, spark, sf_dir):
     phones = Model(spark, sf_dir).messy_phones
     df = views.phone_lookup_orders(
