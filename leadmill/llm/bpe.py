@@ -8,8 +8,10 @@ holds are live. Once all live positions lead back, token by token, through one p
 tokens before it are certain and are emitted; lookahead is thus bounded by the longest token.
 
 A state of the transducer is the chain of last tokens from the last certain position on. States
-and their transitions are made when a text first needs them, and are forgotten together when
-their number passes a bound, so memory does not grow with the corpus.
+and their transitions are made when they are needed a second time, and are forgotten together when
+their number passes a bound, so memory does not grow with the corpus. At a transition that is
+needed for the first time, the rest of a short piece runs over live positions alone: most ends of
+rare words never come again.
 
 Decoding joins the tokens' bytes and feeds them block by block to an incremental UTF-8
 decoder, which keeps the bytes of an unfinished character until the next block.
@@ -63,7 +65,8 @@ class _State:
         # chain[k] is the last token at byte k since the last certain position, where it is
         # chain[0], or None if no later token can start there. live: live positions, and the
         # places in the trie that the bytes from there on lead to.
-        self.next: dict[int, tuple["_State", tuple]] = {}
+        # next has None for a byte that was met once.
+        self.next: dict[int, tuple["_State", tuple] | None] = {}
         self.chain, self.live, self.tail = chain, live, None
 
 
@@ -75,19 +78,16 @@ class Transducer:
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.borders: dict[int, bool] = {}
-        # Trie of the tokens: (place << 8 | byte) -> place, and the token at a place. Places that
-        # no token goes on from are negative.
-        self.child: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
+        # Trie of the tokens: (place << 8 | byte) -> place, and the token there or None. Places
+        # that no token goes on from are negative.
+        self.child: dict[int, tuple[int, int | None]] = {}
         inner = {t[:n] for t in ranks for n in range(1, len(t))} | {b""}
         place = {p: k for k, p in enumerate(sorted(inner, key=len))}
         for k, t in enumerate(ranks):
             place.setdefault(t, -1 - k)
         for t, p in place.items():
             if t:
-                self.child[place[t[:-1]] << 8 | t[-1]] = p
-                if t in ranks:
-                    self.token_at[p] = ranks[t]
+                self.child[place[t[:-1]] << 8 | t[-1]] = p, ranks.get(t)
         # Whether merges can give a token, as far as that was asked.
         self.made: dict[int, bool] = {}
         self.states: dict[tuple, _State] = {}
@@ -114,8 +114,15 @@ class Transducer:
             self.split[token] = tuple(self.ranks[p] for p in parts) if len(parts) == 2 else None
         return self.split[token]
 
+    def reached(self, token: int) -> bool:
+        """Whether merges can give the token."""
+        good = self.made.get(token)
+        if good is None:
+            good = self.made[token] = self.length[token] == 1 or self.halves(token) is not None
+        return good
+
     def apart(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay two tokens beside each other.
+        """Whether the two tokens stay two tokens beside each other, and merges give the right one.
 
         Going back in time, the merges next to the border are undone, the latest first. Each
         pair met at the border must not have merged before the merges that replaced it: at
@@ -127,7 +134,8 @@ class Transducer:
             return known
         ranks, bytes_of = self.ranks, self.bytes_of
         left_end = right_end = len(ranks)
-        while True:
+        good = self.reached(right)
+        while good:
             r = ranks.get(bytes_of[left] + bytes_of[right])
             if r is not None and r < left_end and r <= right_end:
                 good = False
@@ -135,7 +143,6 @@ class Transducer:
             a = left if len(bytes_of[left]) > 1 else -1
             b = right if len(bytes_of[right]) > 1 else -1
             if a == b == -1:
-                good = True
                 break
             if a > b:
                 left_end, left = a, self.halves(a)[1]
@@ -151,29 +158,24 @@ class Transducer:
         chain, length = state.chain, self.length
         live = []
         token = None
-        child, token_at = self.child.get, self.token_at.get
-        made, borders = self.made.get, self.borders.get
+        child, borders = self.child.get, self.borders.get
         for start, place in state.live:
-            place = child(place << 8 | byte)
-            if place is None:
+            at = child(place << 8 | byte)
+            if at is None:
                 continue
+            place, t = at
             if place >= 0:
                 live.append((start, place))
-            if token is None:
-                t = token_at(place)
-                if t is not None:
-                    good = made(t)
+            if token is None and t is not None:
+                last = chain[start]
+                if last is None:
+                    good = self.reached(t)
+                else:
+                    good = borders(last << 32 | t)
                     if good is None:
-                        good = self.made[t] = length[t] == 1 or self.halves(t) is not None
-                    last = chain[start]
-                    if not good:
-                        continue
-                    if last is None:
-                        token = t
-                    else:
-                        good = borders(last << 32 | t)
-                        if self.apart(last, t) if good is None else good:
-                            token = t
+                        good = self.apart(last, t)
+                if good:
+                    token = t
         if token is None:
             raise ValueError("the ranks lack a single byte or are no merge ranks")
         chain = chain + (token,)
@@ -215,10 +217,51 @@ class Transducer:
             state.tail = tuple(reversed(out))
         return state.tail
 
+    def run(self, state: _State, piece: bytes) -> list[int]:
+        """The tokens from a state to the end of a piece, without making states."""
+        chain, live = list(state.chain), state.live
+        length, child, borders = self.length, self.child.get, self.borders.get
+        for byte in piece:
+            still, token = [], None
+            for start, place in live:
+                at = child(place << 8 | byte)
+                if at is None:
+                    continue
+                place, t = at
+                if place >= 0:
+                    still.append((start, place))
+                if token is None and t is not None:
+                    last = chain[start]
+                    if last is None:
+                        good = self.reached(t)
+                    else:
+                        good = borders(last << 32 | t)
+                        if good is None:
+                            good = self.apart(last, t)
+                    if good:
+                        token = t
+            if token is None:
+                raise ValueError("the ranks lack a single byte or are no merge ranks")
+            still.append((len(chain), 0))
+            chain.append(token)
+            live = still
+        out, k = [], len(chain) - 1
+        while k > 0:
+            out.append(chain[k])
+            k -= length[chain[k]]
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         state, out = self.start, []
-        for byte in piece:
-            found = state.next.get(byte) or self.step(state, byte)
+        for k, byte in enumerate(piece):
+            found = state.next.get(byte)
+            if found is None:
+                if byte not in state.next and len(piece) - k <= LONG_FRAGMENT:
+                    state.next[byte] = None
+                    out.extend(self.run(state, piece[k:]))
+                    return out
+                found = self.step(state, byte)
             state = found[0]
             if found[1]:
                 out.extend(found[1])

@@ -57,6 +57,21 @@ def test_small_bounds_change_nothing(codec, expected, monkeypatch):
         assert ids(small, text) == expected(text)
 
 
+def test_ends_of_rare_words_make_no_states(expected):
+    fresh = bpe.Codec(VOCABULARY)
+    words = [hashlib.md5(bytes([k])).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+             for k in range(200)]
+    text = " ".join(words)
+    assert ids(fresh, text) == expected(text)
+    assert len(fresh.fst.states) < len(text) // 10
+    # A word that comes again and again, but is never remembered, is determinised.
+    for _ in range(40):
+        assert fresh.fst.encode(words[0].encode()) == expected(words[0])
+    made = len(fresh.fst.states)
+    assert fresh.fst.encode(words[0].encode()) == expected(words[0])
+    assert len(fresh.fst.states) == made > 20
+
+
 def test_decoder_keeps_an_unfinished_character(codec):
     one = [np.array([codec.fst.ranks[bytes((b,))]], np.uint32).tobytes() for b in "é😀".encode()]
     assert "".join(codec.decode(one)) == "é😀"
