@@ -1,3 +1,4 @@
+import gc
 import zlib
 
 import numpy as np
@@ -61,6 +62,13 @@ def test_special_strings_and_forgetting(monkeypatch, most, group):
         assert ids == codec.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_no_search_for_garbage_while_encoding():
+    assert gc.isenabled()
+    for _ in token_files.encoder(TOKENS.tokenizer).encode(["a b", None]):
+        assert not gc.isenabled()
+    assert gc.isenabled()
+
+
 def test_files(spark, tmp_path, tokenizer, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_BYTES", 5_000)
     texts = [None, "", "# a # b", "word " * 4000, "é 漢字 emoji 🙂", "x" * 3000] + [f"text {i} " * (i % 9) for i in range(300)]
